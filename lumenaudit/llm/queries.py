@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from lumenaudit.functions.runtime import table
 from lumenaudit.llm.cross_polytope import similar_vectors
+from lumenaudit.llm.density import cluster_vectors, describe_clusters
+from lumenaudit.llm.near_duplicates import near_duplicate_groups, pairs_of_groups
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +29,27 @@ def p1_neighbors(spark: SparkSession, d: str) -> DataFrame:
     return similar_vectors(table(spark, d, "vectors"), k=10)
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every two records of one group of copies and slight edits."""
+    return pairs_of_groups(near_duplicate_groups(table(spark, d, "image_records"), table(spark, d, "vectors")))
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    """One row per record in a group of copies, with its group and the group's size."""
+    return near_duplicate_groups(table(spark, d, "image_records"), table(spark, d, "vectors"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Members of the clusters of five or more records."""
+    return cluster_vectors(table(spark, d, "vectors"), min_similarity=SIMILAR, min_size=5)
+
+
+def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters with size, medoids and label make-up."""
+    vectors = table(spark, d, "vectors")
+    return describe_clusters(vectors, cluster_vectors(vectors, min_similarity=SIMILAR, min_size=5))
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(v)}
 
