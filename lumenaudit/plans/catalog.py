@@ -1 +1,3 @@
-"""Core queries."""
+"""Core queries over the test tables; each module registers its own."""
+
+from lumenaudit.plans import skewed  # noqa: F401
