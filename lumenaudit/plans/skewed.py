@@ -28,8 +28,8 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
     SELECT q.k AS label, count(*) AS n_rows, count(DISTINCT q.measure_id) AS n_measures,
-           round(avg(CASE WHEN isnan(quality_score) THEN NULL ELSE quality_score END), 6) AS mean_score,
-           round(avg(brightness), 6) AS mean_brightness, max(t.target_share) AS target_share, max(t.min_rows) AS min_rows
+           round(avg(CASE WHEN isnan(quality_score) THEN NULL ELSE quality_score END), 4) AS mean_score,
+           round(avg(brightness), 4) AS mean_brightness, max(t.target_share) AS target_share, max(t.min_rows) AS min_rows
     FROM {_KEYED} q JOIN sample_targets t ON q.k = t.label GROUP BY q.k
 """)
 def p7_label_report(spark: SparkSession, d: str) -> DataFrame:
@@ -38,6 +38,6 @@ def p7_label_report(spark: SparkSession, d: str) -> DataFrame:
     joined = fragment_replicate_join(rows, table(spark, d, "sample_targets"), "label")
     score = F.when(F.isnan("quality_score"), None).otherwise(F.col("quality_score"))
     return joined.groupBy("label").agg(
-        F.count("*").alias("n_rows"), F.count_distinct("measure_id").alias("n_measures"), F.round(F.avg(score), 6).alias("mean_score"),
-        F.round(F.avg("brightness"), 6).alias("mean_brightness"), F.max("target_share").alias("target_share"), F.max("min_rows").alias("min_rows"),
+        F.count("*").alias("n_rows"), F.count_distinct("measure_id").alias("n_measures"), F.round(F.avg(score), 4).alias("mean_score"),
+        F.round(F.avg("brightness"), 4).alias("mean_brightness"), F.max("target_share").alias("target_share"), F.max("min_rows").alias("min_rows"),
     )
