@@ -137,14 +137,20 @@ def _overlap(flat: np.ndarray, start: np.ndarray, size: np.ndarray, a: np.ndarra
     return total
 
 
-def vector_links(vectors: DataFrame, id_col: str, vec_col: str, dim: int, above: float, probes: int = 3, rows_per_cell: int = 450, chunk_rows: int = 16384, seed: int = 40) -> DataFrame:
+def vector_links(vectors: DataFrame, id_col: str, vec_col: str, dim: int, above: float, probes: int = 3, rows_per_cell: int = 450, chunk_rows: int = 16384, seed: int = 40, sizes_from: DataFrame | None = None) -> DataFrame:
     """``src, dst``: links that join all vectors whose cosine is above ``above``.
 
     ``id_col`` must be unique. The strongest ``probes`` signed axes of the turned vector
-    are its grams. Unusable vectors have no links.
+    are its grams. Unusable vectors have no links. ``sizes_from``: a table with the same
+    columns that holds at least the rows of ``vectors`` and is cheaper to read twice; the
+    sizes of the cells are counted there, as upper bounds.
     """
-    src = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<float>").alias("v")).where(F.col("vec_id").isNotNull() & (F.size("v") == dim))
-    shape = cell_shape(vectors.count(), dim, rows_per_cell)
+
+    def source(df: DataFrame) -> DataFrame:
+        return df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<float>").alias("v")).where(F.col("vec_id").isNotNull() & (F.size("v") == dim))
+
+    src, counted = source(vectors), source(vectors if sizes_from is None else sizes_from)
+    shape = cell_shape((vectors if sizes_from is None else sizes_from).count(), dim, rows_per_cell)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
         for batch in batches:
@@ -157,7 +163,7 @@ def vector_links(vectors: DataFrame, id_col: str, vec_col: str, dim: int, above:
             yield cell_counts(cells)
 
     # a cell has one number; their count is bounded by cell_shape
-    hot = src.mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > chunk_rows)
+    hot = counted.mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > chunk_rows)
     chunks = {r["cell"]: -(-r["n"] // chunk_rows) for r in hot.collect()}
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,9 +197,9 @@ def near_duplicate_groups(
     links = set_links(one.select("vec_id", name_tokens(F.col("path")).alias("t")), "vec_id", "t", jaccard)
     if vectors is not None:
         ids = one.select("vec_id")
-        own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v")).where(F.size("v") == dim).join(ids, "vec_id", "left_semi")
-        own = own.dropDuplicates(["vec_id"])
-        links = links.unionByName(vector_links(own, "vec_id", "v", dim, above))
+        raw = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v"))
+        own = raw.where(F.size("v") == dim).join(ids, "vec_id", "left_semi").dropDuplicates(["vec_id"])
+        links = links.unionByName(vector_links(own, "vec_id", "v", dim, above, sizes_from=raw))
     joined = connected_components(links)
     sizes = joined.groupBy("root").agg(F.count("*").alias("size"))
     return joined.join(sizes, "root").select(F.col("node").alias("vec_id"), F.col("root").alias("group_id"), "size")
