@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from lumenaudit.functions.runtime import table
 from lumenaudit.llm.cross_polytope import similar_vectors
 from lumenaudit.llm.density import cluster_vectors, describe_clusters
+from lumenaudit.functions.labels import label_key, label_key_sql
+from lumenaudit.llm.percentiles import percentile_state, percentiles, regroup_state
 from lumenaudit.llm.near_duplicates import near_duplicate_groups, pairs_of_groups
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +41,28 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicate_groups(table(spark, d, "image_records"), table(spark, d, "vectors"))
 
 
+#: Parameter: the percentiles that are reported.
+FRACTIONS = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
+
+
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    """One row per measurement; repeated rows of a measure_id are one."""
+    rows = table(spark, d, "quality_scores").select("measure_id", label_key("label").alias("label"), "scan_day", "quality_score")
+    return rows.distinct()
+
+
+def p5_percentiles_by_day(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of quality_score of each label and day; rows without a label are a group of their own."""
+    out = percentiles(percentile_state(_scores(spark, d), ["label", "scan_day"], "quality_score"), FRACTIONS)
+    return out.withColumn("percentile", F.round("percentile", 4))
+
+
+def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of each label over all days, combined from the states of the days."""
+    days = percentile_state(_scores(spark, d), ["label", "scan_day"], "quality_score")
+    return percentiles(regroup_state(days, ["label"]), FRACTIONS).withColumn("percentile", F.round("percentile", 4))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Members of the clusters of five or more records."""
     return cluster_vectors(table(spark, d, "vectors"), min_similarity=SIMILAR, min_size=5)
@@ -55,4 +79,13 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    scores = f"(SELECT DISTINCT measure_id, {label_key_sql('label')} AS label, scan_day, quality_score FROM quality_scores WHERE quality_score IS NOT NULL AND NOT isnan(quality_score))"
+
+    def percentile_sql(group: str) -> str:
+        one = "SELECT {g}, count(*) AS n_values, {f}::DOUBLE AS fraction, round(quantile_cont(quality_score, {f}), 4) AS percentile FROM {s} GROUP BY {g}"
+        return " UNION ALL ".join(one.format(g=group, f=f, s=scores) for f in FRACTIONS)
+
+    return {
+        "p5_percentiles_by_day": percentile_sql("label, scan_day"),
+        "p5_percentiles": percentile_sql("label"),
+    }
