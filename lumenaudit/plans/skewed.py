@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenaudit.functions.labels import label_key, label_key_sql
@@ -26,10 +26,15 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return heavy_keys(rows, "label", HEAVY).where("key is not null").select(F.col("key").alias("label"))
 
 
+def _exact_mean(c: Column) -> Column:
+    """Mean by a decimal sum, the same in any order of rows."""
+    return F.sum(c.cast("decimal(18,5)")).cast("double") / F.count(c)
+
+
 @query(f"""
     SELECT q.k AS label, count(*) AS n_rows, count(DISTINCT q.measure_id) AS n_measures,
-           round(avg(CASE WHEN isnan(quality_score) THEN NULL ELSE quality_score END), 4) AS mean_score,
-           round(avg(brightness), 4) AS mean_brightness, max(t.target_share) AS target_share, max(t.min_rows) AS min_rows
+           sum(CAST(CASE WHEN isnan(quality_score) THEN NULL ELSE quality_score END AS DECIMAL(18, 5)))::DOUBLE / count(CASE WHEN isnan(quality_score) THEN NULL ELSE quality_score END) AS mean_score,
+           sum(CAST(brightness AS DECIMAL(18, 5)))::DOUBLE / count(brightness) AS mean_brightness, max(t.target_share) AS target_share, max(t.min_rows) AS min_rows
     FROM {_KEYED} q JOIN sample_targets t ON q.k = t.label GROUP BY q.k
 """)
 def p7_label_report(spark: SparkSession, d: str) -> DataFrame:
@@ -38,6 +43,6 @@ def p7_label_report(spark: SparkSession, d: str) -> DataFrame:
     joined = fragment_replicate_join(rows, table(spark, d, "sample_targets"), "label")
     score = F.when(F.isnan("quality_score"), None).otherwise(F.col("quality_score"))
     return joined.groupBy("label").agg(
-        F.count("*").alias("n_rows"), F.count_distinct("measure_id").alias("n_measures"), F.round(F.avg(score), 4).alias("mean_score"),
-        F.round(F.avg("brightness"), 4).alias("mean_brightness"), F.max("target_share").alias("target_share"), F.max("min_rows").alias("min_rows"),
+        F.count("*").alias("n_rows"), F.count_distinct("measure_id").alias("n_measures"), _exact_mean(score).alias("mean_score"),
+        _exact_mean(F.col("brightness")).alias("mean_brightness"), F.max("target_share").alias("target_share"), F.max("min_rows").alias("min_rows"),
     )
