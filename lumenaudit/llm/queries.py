@@ -54,13 +54,13 @@ def _scores(spark: SparkSession, d: str) -> DataFrame:
 def p5_percentiles_by_day(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles of quality_score of each label and day; rows without a label are a group of their own."""
     out = percentiles(percentile_state(_scores(spark, d), ["label", "scan_day"], "quality_score"), FRACTIONS)
-    return out.withColumn("percentile", F.round("percentile", 4))
+    return out.withColumn("percentile", F.round("percentile", 8))
 
 
 def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles of each label over all days, combined from the states of the days."""
     days = percentile_state(_scores(spark, d), ["label", "scan_day"], "quality_score")
-    return percentiles(regroup_state(days, ["label"]), FRACTIONS).withColumn("percentile", F.round("percentile", 4))
+    return percentiles(regroup_state(days, ["label"]), FRACTIONS).withColumn("percentile", F.round("percentile", 8))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -82,7 +82,7 @@ def oracle_sql() -> dict[str, str]:
     scores = f"(SELECT DISTINCT measure_id, {label_key_sql('label')} AS label, scan_day, quality_score FROM quality_scores WHERE quality_score IS NOT NULL AND NOT isnan(quality_score))"
 
     def percentile_sql(group: str) -> str:
-        one = "SELECT {g}, count(*) AS n_values, {f}::DOUBLE AS fraction, round(quantile_cont(quality_score, {f}), 4) AS percentile FROM {s} GROUP BY {g}"
+        one = "SELECT {g}, count(*) AS n_values, {f}::DOUBLE AS fraction, round(quantile_cont(quality_score, {f}), 8) + 0.0 AS percentile FROM {s} GROUP BY {g}"
         return " UNION ALL ".join(one.format(g=group, f=f, s=scores) for f in FRACTIONS)
 
     return {
