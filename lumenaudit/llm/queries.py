@@ -11,6 +11,8 @@ from lumenaudit.functions.runtime import table
 from lumenaudit.llm.cross_polytope import similar_vectors
 from lumenaudit.llm.density import cluster_vectors, describe_clusters
 from lumenaudit.functions.labels import label_key, label_key_sql
+from lumenaudit.llm.diverse_subset import diverse_subset
+from lumenaudit.llm.quota_sample import sample_by_targets
 from lumenaudit.llm.percentiles import percentile_state, percentiles, regroup_state
 from lumenaudit.llm.near_duplicates import near_duplicate_groups, pairs_of_groups
 
@@ -31,6 +33,31 @@ def p1_neighbors(spark: SparkSession, d: str) -> DataFrame:
     return similar_vectors(table(spark, d, "vectors"), k=10)
 
 
+#: Parameter: the sample's part of all records.
+SAMPLE_FRACTION = 0.4
+
+
+def _sample(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    w, h = F.col("metadata.width"), F.col("metadata.height")
+    shape = F.when(w.isNull() | h.isNull(), "unknown").when(w == h, "square").when(w > h, "landscape").otherwise("portrait")
+    return sample_by_targets(table(spark, d, "image_records"), table(spark, d, "sample_targets"), shape, SAMPLE_FRACTION)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Labels whose target cannot be met: those with flow on their slack arc."""
+    return _sample(spark, d)[1].where("shortfall > 0").select("label")
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    """What each label has, asks for, gets and lacks."""
+    return _sample(spark, d)[1]
+
+
+def p2_sample(spark: SparkSession, d: str) -> DataFrame:
+    """The records drawn."""
+    return _sample(spark, d)[0]
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Every two records of one group of copies and slight edits."""
     return pairs_of_groups(near_duplicate_groups(table(spark, d, "image_records"), table(spark, d, "vectors")))
@@ -41,6 +68,15 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicate_groups(table(spark, d, "image_records"), table(spark, d, "vectors"))
 
 
+#: Parameter: members of the varied subset.
+SUBSET = 400
+
+
+def p4_varied_subset(spark: SparkSession, d: str) -> DataFrame:
+    """Records that cover the variety of vectors and labels, in the order they were chosen."""
+    return diverse_subset(table(spark, d, "vectors"), SUBSET).withColumn("gain", F.round("gain", 6))
+
+
 #: Parameter: the percentiles that are reported.
 FRACTIONS = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 
@@ -85,7 +121,12 @@ def oracle_sql() -> dict[str, str]:
         one = "SELECT {g}, count(*) AS n_values, {f}::DOUBLE AS fraction, round(quantile_cont(quality_score, {f}), 8) + 0.0 AS percentile FROM {s} GROUP BY {g}"
         return " UNION ALL ".join(one.format(g=group, f=f, s=scores) for f in FRACTIONS)
 
+    latest = f"(SELECT vec_id, k AS label FROM (SELECT vec_id, {label_key_sql('label')} AS k, row_number() OVER (PARTITION BY vec_id ORDER BY scanned_at DESC NULLS LAST, arrived_at DESC NULLS LAST, {label_key_sql('label')} DESC NULLS LAST) AS r FROM image_records WHERE vec_id IS NOT NULL) WHERE r = 1)"
     return {
+        "p2_found": f"""
+            SELECT t.label FROM sample_targets t LEFT JOIN (SELECT label, count(*) AS n FROM {latest} GROUP BY label) c ON c.label = t.label
+            WHERE coalesce(c.n, 0) < greatest(t.min_rows, t.target_share * {SAMPLE_FRACTION} * (SELECT count(*) FROM {latest}))
+        """,
         "p5_percentiles_by_day": percentile_sql("label, scan_day"),
         "p5_percentiles": percentile_sql("label"),
     }
