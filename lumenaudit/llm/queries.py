@@ -14,6 +14,7 @@ from lumenaudit.functions.labels import label_key, label_key_sql
 from lumenaudit.llm.diverse_subset import diverse_subset
 from lumenaudit.llm.quota_sample import sample_by_targets
 from lumenaudit.llm.percentiles import percentile_state, percentiles, regroup_state
+from lumenaudit.llm.leaks import leaked_passages
 from lumenaudit.llm.near_duplicates import near_duplicate_groups, pairs_of_groups
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,6 +111,22 @@ def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
     return describe_clusters(vectors, cluster_vectors(vectors, min_similarity=SIMILAR, min_size=5))
 
 
+#: Fixed value: consecutive words in common from which on an item counts as leaked.
+RUN = 12
+
+
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Items found in each page, whole, in part or slightly changed."""
+    out = leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items"), min_words=RUN)
+    return out.withColumn("similarity", F.round("similarity", 6)).withColumn("item_share", F.round("item_share", 6))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with a run of twelve or more words of an item."""
+    out = leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items"), min_words=RUN)
+    return out.where(F.col("longest_run") >= RUN).select("doc_id", "item_id")
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(v)}
 
