@@ -15,6 +15,7 @@ from lumenaudit.llm.diverse_subset import diverse_subset
 from lumenaudit.llm.quota_sample import sample_by_targets
 from lumenaudit.llm.percentiles import percentile_state, percentiles, regroup_state
 from lumenaudit.llm.leaks import leaked_passages
+from lumenaudit.llm.mixing import mix_sources
 from lumenaudit.llm.near_duplicates import near_duplicate_groups, pairs_of_groups
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,6 +128,23 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return out.where(F.col("longest_run") >= RUN).select("doc_id", "item_id")
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Sources that stay below their share although used as often as they may be."""
+    return mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets")).report.where("short").select("source")
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    """Wanted, expected and drawn shares of each source."""
+    out = mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets")).report
+    return out.withColumns({c: F.round(c, 6) for c in ("expected_tokens", "expected_share", "drawn_share")})
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """How often each page is used."""
+    out = mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets")).documents
+    return out.withColumn("rate", F.round("rate", 6))
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(v)}
 
