@@ -11,9 +11,10 @@ from lumenaudit.functions.runtime import table
 from lumenaudit.llm.cross_polytope import similar_vectors
 from lumenaudit.llm.density import cluster_vectors, describe_clusters
 from lumenaudit.functions.labels import label_key, label_key_sql
-from lumenaudit.llm.diverse_subset import diverse_subset
+from lumenaudit.llm.diverse_subset import diverse_subset, representatives
 from lumenaudit.llm.quota_sample import sample_by_targets
 from lumenaudit.llm.percentiles import percentile_state, percentiles, regroup_state
+from lumenaudit.llm.languages import label_cases, language_stretches
 from lumenaudit.llm.leaks import leaked_passages
 from lumenaudit.llm.mixing import mix_sources
 from lumenaudit.llm.near_duplicates import near_duplicate_groups, pairs_of_groups
@@ -79,6 +80,12 @@ def p4_varied_subset(spark: SparkSession, d: str) -> DataFrame:
     return diverse_subset(table(spark, d, "vectors"), SUBSET).withColumn("gain", F.round("gain", 6))
 
 
+def p4_representatives(spark: SparkSession, d: str) -> DataFrame:
+    """Each record with the member of the varied subset that stands for it."""
+    vectors = table(spark, d, "vectors")
+    return representatives(vectors, diverse_subset(vectors, SUBSET))
+
+
 #: Parameter: the percentiles that are reported.
 FRACTIONS = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 
@@ -145,6 +152,21 @@ def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("rate", F.round("rate", 6))
 
 
+#: Fixed value: words from which on a stretch makes a page's language.
+STRETCH = 40
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pages whose language label is absent, wrong or one of several, with their languages."""
+    return label_cases(language_stretches(table(spark, d, "documents"), min_words=STRETCH), STRETCH).select("doc_id", "lang")
+
+
+def p10_stretches(spark: SparkSession, d: str) -> DataFrame:
+    """Every stretch of every page with its language and confidence."""
+    out = language_stretches(table(spark, d, "documents"))
+    return out.withColumns({c: F.round(c, 4) for c in ("doc_confidence", "confidence")})
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(v)}
 
