@@ -47,27 +47,41 @@ def similar_groups(units: np.ndarray, least: float, strict: bool, counts_of: int
     groups = Groups(n)
     near = np.zeros(n, np.int64)
 
-    def hits(at: int) -> tuple[np.ndarray, np.ndarray]:
-        s = f[at : at + block] @ f.T
-        mask = s > least - 1e-5
-        r, c = np.nonzero(mask)
+    def links(rows: np.ndarray, cols: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        s = f[rows] @ (f.T if cols is None else f[cols].T)
+        r, c = np.nonzero(s > least - 1e-5)
         close = np.flatnonzero(s[r, c] < least + 1e-5)
+        i, j = rows[r], c if cols is None else cols[c]
         if len(close):
-            exact = np.einsum("ij,ij->i", units[r[close] + at], units[c[close]])
-            bad = close[exact <= least] if strict else close[np.round(exact, 6) < least]
-            keep = np.ones(len(r), bool)
-            keep[bad] = False
-            r, c = r[keep], c[keep]
-        return r + at, c
+            exact = np.einsum("ij,ij->i", units[i[close]], units[j[close]])
+            keep = np.ones(len(i), bool)
+            keep[close[exact <= least] if strict else close[np.round(exact, 6) < least]] = False
+            i, j = i[keep], j[keep]
+        return i, j
 
     if counts_of <= 2:
-        linked = np.zeros(n, bool)
-        for at in range(0, n, block):
-            r, c = hits(at)
-            other = r != c
-            linked[r[other]] = True
-            groups.join(r[other], c[other])
-        return np.where(linked, groups.label, -1)
+        open_ = np.ones(n, bool)
+        while open_.any():
+            label, size = np.unique(groups.label[open_], return_counts=True)
+            large = label[size.argmax()] if size.max() >= block else None
+            if large is None:
+                rows = np.flatnonzero(open_)[:block]
+                groups.join(*links(rows, None))
+            else:
+                # rows of one large group need only be compared with what is not in it yet
+                rows = np.flatnonzero(open_ & (groups.label == large))[: 4 * block]
+                cols = np.flatnonzero(groups.label != large)
+                if len(cols):
+                    groups.join(*links(rows, cols))
+                else:
+                    break
+            open_[rows] = False
+        _, back, count = np.unique(groups.label, return_inverse=True, return_counts=True)
+        return np.where(count[back] > 1, groups.label, -1) if n else groups.label
+
+    def hits(at: int) -> tuple[np.ndarray, np.ndarray]:
+        return links(np.arange(at, min(at + block, n)), None)
+
     for at in range(0, n, block):
         r, _ = hits(at)
         near += np.bincount(r, minlength=n)

@@ -85,19 +85,20 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, id_col: str = "vec_id"
             for at in range(0, len(qi), 512):
                 rows = qi[at : at + 512]
                 # ties are decided on rounded scores, as sums of products differ in the last digits
-                s = np.round(_scores(v[rows], v[bi], metric), 9)
+                raw = _scores(v[rows], v[bi], metric)
+                s = np.round(raw, 9)
                 gone = np.isnan(s) | ((ids[rows][:, None] == ids[bi][None, :]) & exclude_self)
                 s[gone] = -np.inf
                 n = min(k, s.shape[1])
                 order = np.argsort(-s, 1, kind="stable")[:, :n] if n * 8 > s.shape[1] else _top(s, n)
                 val = np.take_along_axis(s, order, 1)
                 r, c = np.nonzero(np.isfinite(val))
-                src.append(ids[rows][r]), dst.append(ids[bi][order[r, c]]), score.append(val[r, c])
+                src.append(ids[rows][r]), dst.append(ids[bi][order[r, c]]), score.append(raw[r, order[r, c]])
         return pa.table({"src": np.concatenate(src), "dst": np.concatenate(dst), "score": np.concatenate(score)})
 
     q, b = _rows(queries, id_col, vec_col), _rows(base, id_col, vec_col)
     found = _chunk_pairs(q, b, chunk_rows).groupBy("one", "two").applyInArrow(best, "src long, dst long, score double")
-    order = Window.partitionBy("src").orderBy(F.desc("score"), "dst")
+    order = Window.partitionBy("src").orderBy(F.desc(F.round("score", 9)), "dst")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("src", "dst", "rank", (F.lit(sign) * F.col("score")).alias("score"))
 
 
