@@ -5,6 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+from lumenaudit.functions.groups import Groups, similar_groups
+
+__all__ = ["Groups", "PLACED", "cell_counts", "chunk_of", "placed", "similar_groups"]
+
 
 def chunk_of(ids: np.ndarray, m: int) -> np.ndarray:
     """The chunk of each id when a cell is cut in ``m``; all rows of an id share it."""
@@ -47,83 +51,3 @@ def cell_counts(cells: np.ndarray) -> pa.RecordBatch:
     """``cell, n`` of one batch."""
     c, n = np.unique(cells[cells >= 0], return_counts=True)
     return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), pa.array(n.astype(np.int64))], names=["cell", "n"])
-
-
-class Groups:
-    """Disjoint groups of 0..n-1, joined by arrays of edges; the label of a group is its least member."""
-
-    def __init__(self, n: int) -> None:
-        self.label = np.arange(n)
-
-    def join(self, a: np.ndarray, b: np.ndarray) -> None:
-        la, lb = self.label[a], self.label[b]
-        differ = la != lb
-        if not differ.any():
-            return
-        pairs = np.unique(np.stack([np.maximum(la[differ], lb[differ]), np.minimum(la[differ], lb[differ])], 1), axis=0)
-        parent: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while (p := parent.get(x, x)) != x:
-                parent[x] = x = parent.get(p, p)
-            return x
-
-        for x, y in pairs.tolist():
-            x, y = find(x), find(y)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-        moved = np.array(list(parent))
-        to = np.arange(len(self.label))
-        to[moved] = [find(x) for x in parent]
-        self.label = to[self.label]
-
-
-def similar_groups(units: np.ndarray, least: float, strict: bool, counts_of: int = 2, block: int = 512) -> np.ndarray:
-    """Labels of the groups that links of similarity ``least`` or more (``strict``: more) join; -1: in none.
-
-    ``counts_of``: a row is a core if so many rows, itself included, lie within reach;
-    only links of cores join, and a row that is no core belongs to its first core's group.
-    Single-precision products find links; those within 1e-5 of the bound are computed
-    again in double precision.
-    """
-    n = len(units)
-    f = np.ascontiguousarray(units.astype(np.float32))
-    groups = Groups(n)
-    near = np.zeros(n, np.int64)
-
-    def hits(at: int) -> tuple[np.ndarray, np.ndarray]:
-        s = f[at : at + block] @ f.T
-        mask = s > least - 1e-5
-        r, c = np.nonzero(mask)
-        close = np.flatnonzero(s[r, c] < least + 1e-5)
-        if len(close):
-            exact = np.einsum("ij,ij->i", units[r[close] + at], units[c[close]])
-            bad = close[exact <= least] if strict else close[np.round(exact, 6) < least]
-            keep = np.ones(len(r), bool)
-            keep[bad] = False
-            r, c = r[keep], c[keep]
-        return r + at, c
-
-    if counts_of <= 2:
-        linked = np.zeros(n, bool)
-        for at in range(0, n, block):
-            r, c = hits(at)
-            other = r != c
-            linked[r[other]] = True
-            groups.join(r[other], c[other])
-        return np.where(linked, groups.label, -1)
-    for at in range(0, n, block):
-        r, _ = hits(at)
-        near += np.bincount(r, minlength=n)
-    core = near >= counts_of
-    owner = np.full(n, n)
-    for at in range(0, n, block):
-        r, c = hits(at)
-        both = core[r] & core[c]
-        groups.join(r[both], c[both])
-        edge = core[r] & ~core[c]
-        np.minimum.at(owner, c[edge], r[edge])
-    out = np.where(core, groups.label, -1)
-    reached = ~core & (owner < n)
-    out[reached] = groups.label[owner[reached]]
-    return out
