@@ -12,26 +12,18 @@ class Groups:
         self.label = np.arange(n)
 
     def join(self, a: np.ndarray, b: np.ndarray) -> None:
-        la, lb = self.label[a], self.label[b]
-        differ = la != lb
-        if not differ.any():
-            return
-        pairs = np.unique(np.stack([np.maximum(la[differ], lb[differ]), np.minimum(la[differ], lb[differ])], 1), axis=0)
-        parent: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while (p := parent.get(x, x)) != x:
-                parent[x] = x = parent.get(p, p)
-            return x
-
-        for x, y in pairs.tolist():
-            x, y = find(x), find(y)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-        moved = np.array(list(parent))
-        to = np.arange(len(self.label))
-        to[moved] = [find(x) for x in parent]
-        self.label = to[self.label]
+        """Joins the groups of ``a[i]`` and ``b[i]``: larger labels hook to the least linked one until all agree."""
+        while len(a):
+            la, lb = self.label[a], self.label[b]
+            differ = la != lb
+            if not differ.any():
+                return
+            a, b, la, lb = a[differ], b[differ], la[differ], lb[differ]
+            to = np.arange(len(self.label))
+            np.minimum.at(to, np.maximum(la, lb), np.minimum(la, lb))
+            while (to[to] != to).any():
+                to = to[to]
+            self.label = to[self.label]
 
 
 def similar_groups(units: np.ndarray, least: float, strict: bool, counts_of: int = 2, block: int = 512) -> np.ndarray:
