@@ -18,11 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenaudit.functions.runtime import spread
+from lumenaudit.functions.runtime import cut, spread
 from lumenaudit.functions.vectors import list_matrix, pack16, unit, unpack16
+from lumenaudit.llm.cells import PLACED, cell_counts, chunk_of, placed
 
 MAX_CELLS = 1 << 16
 
@@ -176,37 +177,21 @@ def similar_vectors(
     src = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<float>").alias("v")).where(F.col("vec_id").isNotNull() & (F.size("v") == dim))
     shape = cell_shape(vectors.count(), dim, rows_per_cell)
 
-    def cells_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, cells in _hashed(batches, dim, shape, probes, seed):
-            c, n = np.unique(cells, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(n, pa.int64())], names=["cell", "n"])
+            yield cell_counts(cells)
 
-    # one number per cell and batch; no more than MAX_CELLS rows reach the driver
-    counted = src.mapInArrow(cells_only, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > chunk_rows)
-    chunks = {r["cell"]: -(-r["n"] // chunk_rows) for r in counted.collect() if r["cell"] >= 0}
+    every, copies = src, _saturated(src, k)
+    if copies is not None:
+        src = src.withColumns(_digest()).join(copies.select("h", "g", "last"), (F.col("h") == F.col("_h")) & (F.col("g") == F.col("_g")) & (F.col("vec_id") > F.col("last")), "left_anti").select("vec_id", "v")
+
+    # one number per cell; no more than MAX_CELLS rows reach the driver
+    hot = src.mapInArrow(counted, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > chunk_rows)
+    chunks = {r["cell"]: -(-r["n"] // chunk_rows) for r in hot.collect()}
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, units, cells in _hashed(batches, dim, shape, probes, seed):
-            key = ids.to_numpy()
-            mixed = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
-            rows, cell, one, two = [], [], [], []
-            for p in range(cells.shape[1]):
-                c = cells[:, p]
-                r = np.flatnonzero(c >= 0)
-                big = np.isin(c[r], list(chunks)) if chunks else np.zeros(len(r), bool)
-                s = r[~big]
-                rows.append(s), cell.append(c[s]), one.append(np.zeros(len(s), np.int32)), two.append(np.zeros(len(s), np.int32))
-                for x in np.unique(c[r[big]]):
-                    at, m = r[c[r] == x], chunks[int(x)]
-                    own = (mixed[at] % np.uint64(m)).astype(np.int32)
-                    for other in range(m):
-                        rows.append(at), cell.append(np.full(len(at), x)), one.append(np.minimum(own, other)), two.append(np.maximum(own, other))
-            rows = np.concatenate(rows)
-            packed = pack16(units).take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(rows)), pa.array(np.concatenate(cell), pa.int32()), pa.array(np.concatenate(one), pa.int32()), pa.array(np.concatenate(two), pa.int32()), packed],
-                names=["vec_id", "cell", "one", "two", "v"],
-            )
+            yield placed(ids, pack16(units), cells, chunks)
 
     def compare(key: tuple, group: pa.Table) -> pa.Table:
         _, one, two = (x.as_py() for x in key)
@@ -216,8 +201,7 @@ def similar_vectors(
         if one == two:
             parts = [(x, ids, x, ids)]
         else:
-            m = chunks[key[0].as_py()]
-            own = (((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)) % np.uint64(m)).astype(np.int32)
+            own = chunk_of(ids, chunks[key[0].as_py()])
             a, b = own == one, own == two
             parts = [(x[a], ids[a], x[b], ids[b]), (x[b], ids[b], x[a], ids[a])]
         for q, qi, base, bi in parts:
@@ -226,10 +210,43 @@ def similar_vectors(
         names = pa.schema([("vec_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("sims", pa.list_(pa.float32()))])
         return pa.Table.from_batches([b.cast(names) for b in out], names)
 
-    placed = spread(src).mapInArrow(place, "vec_id long, cell int, one int, two int, v binary")
-    found = placed.groupBy("cell", "one", "two").applyInArrow(compare, "vec_id long, ids array<long>, sims array<float>")
+    found = spread(src).mapInArrow(place, PLACED).groupBy("cell", "one", "two").applyInArrow(compare, "vec_id long, ids array<long>, sims array<float>")
 
     # each record's lists (at most one per cell and chunk pair) become one sorted list of k
     entry = F.arrays_zip(F.transform("sims", lambda s: -F.round(s.cast("double"), 6)).alias("s"), F.col("ids").alias("i"))
     merged = found.select("vec_id", entry.alias("e")).groupBy("vec_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("e")))), 1, k).alias("e"))
-    return merged.select("vec_id", F.posexplode("e").alias("p", "x")).select("vec_id", F.col("x.i").alias("neighbor_id"), (-F.col("x.s")).alias("similarity"), (F.col("p") + 1).alias("rank"))
+    near = merged.select("vec_id", F.posexplode("e").alias("p", "x")).select("vec_id", F.col("x.i").alias("neighbor_id"), (-F.col("x.s")).alias("similarity"), (F.col("p") + 1).alias("rank"))
+    if copies is None:
+        return near
+    # the copies that were left out: their neighbours are the first k of their class
+    rest = _left_out(every, copies)
+    return near.unionByName(rest.select("vec_id", F.posexplode(F.slice("first", 1, k)).alias("p", "neighbor_id")).select("vec_id", "neighbor_id", F.lit(1.0).alias("similarity"), (F.col("p") + 1).alias("rank")))
+
+
+def _digest() -> dict[str, Column]:
+    """96 bits that equal vectors share."""
+    return {"_h": F.xxhash64("v"), "_g": F.hash("v")}
+
+
+def _saturated(src: DataFrame, k: int) -> DataFrame | None:
+    """``h, g, first, last`` of classes of more than ``k + 1`` identical vectors; null if there are none.
+
+    Every member's ``k`` nearest are then the class's smallest ids, and no other vector
+    can need more than the ``k + 1`` smallest as neighbours: members beyond them need not
+    be compared, so a group of copies of any size costs what ``k + 1`` records cost.
+    """
+    rows = src.withColumns(_digest())
+    big = cut(rows.groupBy("_h", "_g").agg(F.count("*").alias("n")).where(F.col("n") > k + 1).select("_h", "_g"), "copies")
+    if big.isEmpty():
+        return None
+    order = Window.partitionBy("_h", "_g").orderBy("vec_id")
+    # few rows per class are kept, so Spark limits classes before the shuffle
+    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
+    members = rows.join(big, ["_h", "_g"]).where(fine).select("_h", "_g", "vec_id").distinct()
+    first = members.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
+    return cut(first.groupBy(F.col("_h").alias("h"), F.col("_g").alias("g")).agg(F.array_sort(F.collect_list("vec_id")).alias("first"), F.max("vec_id").alias("last"), F.count("*").alias("n")).where(F.col("n") == k + 1).drop("n"), "copies")
+
+
+def _left_out(src: DataFrame, copies: DataFrame) -> DataFrame:
+    """``vec_id, first`` of the copies beyond the first of their class."""
+    return src.withColumns(_digest()).select("vec_id", "_h", "_g").join(copies, (F.col("h") == F.col("_h")) & (F.col("g") == F.col("_g")) & (F.col("vec_id") > F.col("last"))).select("vec_id", "first").dropDuplicates(["vec_id"])
