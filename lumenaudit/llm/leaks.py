@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenaudit.functions.runtime import spread
 from lumenaudit.llm.words import WordHashes, mix, words
 
 SLICE_CHARS = 8_000_000
@@ -154,7 +155,7 @@ def leaked_passages(
         rows = keyed.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == s).collect()
         part = Items([r["item_id"] for r in rows], [r["t"] for r in rows], min_words, radius)
         if part.index is not None:
-            found = found.unionByName(docs.mapInArrow(_searcher(part, min_similarity), schema))
+            found = found.unionByName(spread(docs).mapInArrow(_searcher(part, min_similarity), schema))
     best = found.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("windows", "similarity", "longest_run", "item_share")])
     return best
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenaudit.functions.runtime import cut
+from lumenaudit.functions.runtime import cut, spread
 
 FEATURES = 4096
 PIECE = 200_000
@@ -162,7 +162,7 @@ def mix_sources(
             n = np.array([len(f) for f in found], np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(cap.astype(np.float32)), pa.array(list(p.astype(np.float32)), pa.list_(pa.float32()))], names=["doc_id", "source", "tokens", "cap", "p"])
 
-    table = cut(src.mapInArrow(weigh, "doc_id long, source string, tokens long, cap float, p array<float>"), "mixture")
+    table = cut(spread(src).mapInArrow(weigh, "doc_id long, source string, tokens long, cap float, p array<float>"), "mixture")
 
     def passes(steps: list[np.ndarray] | None) -> np.ndarray:
         """Expected tokens of each source at the rates after ``steps`` (None: at rate 1)."""
@@ -191,8 +191,8 @@ def mix_sources(
     for _ in range(max_steps):
         if not size:
             break
-        # gradient of the squared differences, scaled by what the source holds
-        steps.append((expected - want) / np.maximum(held, 1e-9))
+        # gradient of the squared differences, each relative to what the source holds or should hold
+        steps.append((expected - want) / np.maximum(np.maximum(held, want), 1e-9))
         was, expected = expected, passes(steps)
         if np.abs(expected - was).max() <= tolerance * size:
             break
