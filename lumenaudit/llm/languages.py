@@ -62,26 +62,36 @@ def _fixed(raw: bytes, size: int) -> np.ndarray:
     return out
 
 
-def train_network(texts: list[str], codes: list[int], pieces: int = 8000, size: int = 192, hidden: int = 24, epochs: int = 5, garble: float = 0.25, seed: int = 3) -> ByteNetwork:
+def train_network(texts: list[str], codes: list[int], pieces: int = 8000, size: int = 192, hidden: int = 24, epochs: int = 5, garble: float = 0.25, switch: float = 0.3, seed: int = 3) -> ByteNetwork:
     """Fits the network on ``pieces`` pieces of ``size`` bytes from labelled texts.
 
     Classes are drawn evenly and pieces from anywhere in a text. ``garble`` of them are
-    shown in a wrong charset.
+    shown in a wrong charset, ``switch`` of them change their language on the way.
     """
     rng = np.random.default_rng(seed)
     by = [np.flatnonzero(np.array(codes) == k) for k in range(len(CODES))]
     by = [b for b in by if len(b)]
     xs, ys = [], []
-    for n in range(pieces if by else 0):
+
+    def piece(n: int, length: int) -> tuple[bytes, int]:
         i = int(rng.choice(by[n % len(by)]))
-        text = texts[i]
-        at = int(rng.integers(0, max(1, len(text) - size)))
-        part = text[at : at + size]
+        at = int(rng.integers(0, max(1, len(texts[i]) - length)))
+        part = texts[i][at : at + length]
         if rng.random() < garble:
             part = _garbled(part, MIX_UPS[int(rng.integers(len(MIX_UPS)))])
         raw = even(part).encode("utf-8", "replace")
-        skip = int(rng.integers(0, STRIDE))
-        xs.append(_fixed(raw[skip:], size)), ys.append(codes[i])
+        return raw[int(rng.integers(0, STRIDE)) :], codes[i]
+
+    for n in range(pieces if by else 0):
+        raw, code = piece(n, size)
+        label = np.full(size // STRIDE, code)
+        if rng.random() < switch:
+            # a second language from somewhere inside the piece on
+            turn = int(rng.integers(size // 8, size - size // 8)) // STRIDE * STRIDE
+            other, code = piece(int(rng.integers(len(by))), size)
+            raw = raw[: turn - 1].ljust(turn - 1) + b" " + other
+            label[turn // STRIDE :] = code
+        xs.append(_fixed(raw, size)), ys.append(label)
     net = ByteNetwork(len(CODES), hidden)
     if not xs:
         return net
@@ -89,7 +99,7 @@ def train_network(texts: list[str], codes: list[int], pieces: int = 8000, size:
     mask = np.ones((len(x), size // STRIDE), np.float32)
     net.fit(x, y, mask, 2)
     p = np.concatenate([np.exp(net.log_probabilities(x[a : a + 1024])).transpose(1, 0, 2) for a in range(0, len(x), 1024)])
-    own = np.take_along_axis(p, y[:, None, None], 2)[:, :, 0]
+    own = np.take_along_axis(p, y[:, :, None], 2)[:, :, 0]
     good = own.mean(1) > 0.3
     mask = mask * (own > 0.2)  # menus and notices in another language
     if good.sum() > len(x) // 3:

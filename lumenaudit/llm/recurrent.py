@@ -86,7 +86,7 @@ class ByteNetwork:
         return z.reshape(both.shape[0], both.shape[1], -1)
 
     def gradients(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
-        """(gradients, loss) of the mean negative log-probability of class ``y`` (per sequence) at unmasked steps."""
+        """(gradients, loss) of the mean negative log-probability of class ``y`` (sequences, steps) at unmasked steps."""
         w, h = self.weights, self.hidden
         kept: dict[str, list] = {"f": [], "b": []}
         both = np.concatenate([self._run(d, x, kept[d]) for d in "fb"], 2)
@@ -96,8 +96,9 @@ class ByteNetwork:
         p /= p.sum(2, keepdims=True)
         total = max(1.0, float(mask.sum()))
         rows = np.arange(x.shape[0])
-        loss = -float((np.log(p[:, rows, y] + 1e-9) * mask).sum()) / total
-        p[:, rows, y] -= 1
+        at = np.arange(p.shape[0])[:, None], rows[None, :], y.T
+        loss = -float((np.log(p[at] + 1e-9) * mask).sum()) / total
+        p[at] -= 1
         p *= (mask / total)[:, :, None]
         flat = p.reshape(-1, self.classes)
         grads = {"v": both.reshape(-1, 2 * h).T @ flat, "o": flat.sum(0)}
@@ -130,7 +131,7 @@ class ByteNetwork:
         return grads, loss
 
     def fit(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, epochs: int, rate: float = 0.02, batch: int = 256, seed: int = 6) -> list[float]:
-        """Adam over shuffled batches; ``mask`` is (sequences, steps). Gives the loss of each epoch."""
+        """Adam over shuffled batches; ``y`` and ``mask`` are (sequences, steps). Gives the loss of each epoch."""
         rng = np.random.default_rng(seed)
         first = {k: np.zeros_like(v) for k, v in self.weights.items()}
         second = {k: np.zeros_like(v) for k, v in self.weights.items()}
