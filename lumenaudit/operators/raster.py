@@ -24,6 +24,9 @@ METADATA_SCHEMA = "path string, width int, height int, aspect_ratio double, mean
 HEURISTIC_SCHEMA = "path string, filename string, width int, height int, aspect_ratio double, contrast double, low_quality_flag boolean"
 
 
+_ARROW = {"string": pa.string(), "boolean": pa.bool_(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
+
+
 def gray_of(bgr: np.ndarray) -> np.ndarray:
     """Gray values 0..255, rounded."""
     return np.rint(bgr.astype(np.float64) @ np.array(GRAY_WEIGHTS))
@@ -79,10 +82,7 @@ def _map(images: DataFrame, one: Callable[[str, np.ndarray | None, dict], dict],
             rows = [one(r["path"], pixels(r["image"]), r["image"] or {}) for r in b.to_pylist()]
             yield pa.RecordBatch.from_pylist(rows, arrow)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    arrow = to_arrow_schema(StructType.fromDDL(schema), timezone="UTC", prefers_large_types=False)
+    arrow = pa.schema([(f.split()[0], _ARROW[f.split()[1]]) for f in schema.split(", ")])
     return images.select("path", "image").mapInArrow(run, schema)
 
 
