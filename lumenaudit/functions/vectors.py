@@ -78,6 +78,13 @@ def as_double(col: Column | str) -> Column:
     return (F.col(col) if isinstance(col, str) else col).cast("array<double>")
 
 
+def is_usable(col: Column | str, dim: int) -> Column:
+    """``dim`` finite numbers, not all zero: the condition of ``list_matrix`` as an expression (false for null)."""
+    c = F.col(col) if isinstance(col, str) else col
+    finite = F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    return F.coalesce((F.size(c) == dim) & finite & F.exists(c, lambda x: x != 0), F.lit(False))
+
+
 def dot(a: Column, b: Column) -> Column:
     """Inner product; null if either side is null."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
