@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame, GroupedData
 
 from lumenaudit.functions.groups import Groups, similar_groups
+from lumenaudit.functions.runtime import parallelism
 
-__all__ = ["Groups", "PLACED", "cell_counts", "chunk_of", "placed", "similar_groups"]
+__all__ = ["Groups", "PLACED", "by_cell", "cell_counts", "chunk_of", "placed", "similar_groups"]
 
 
 def chunk_of(ids: np.ndarray, m: int) -> np.ndarray:
@@ -44,6 +46,17 @@ def placed(ids: pa.Array, payload: pa.Array, cells: np.ndarray, chunks: dict[int
     )
 
 
+#: Bytes of placed rows that one task should read.
+TASK_BYTES = 48 << 20
+
+
+def by_cell(rows: DataFrame, expected: int, row_bytes: int) -> GroupedData:
+    """Placed rows grouped by cell and chunk pair, in as many tasks as ``expected`` rows of that size need."""
+    tasks = max(parallelism(rows.sparkSession), -(-expected * row_bytes // TASK_BYTES))
+    keys = ["cell", "one", "two"]
+    return rows.repartition(tasks, *keys).groupBy(*keys)
+
+
 PLACED = "vec_id long, cell int, one int, two int, v binary"
 
 

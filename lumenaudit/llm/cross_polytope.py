@@ -22,8 +22,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenaudit.functions.runtime import cut, spread
-from lumenaudit.functions.vectors import list_matrix, pack16, unit, unpack16
-from lumenaudit.llm.cells import PLACED, cell_counts, chunk_of, placed
+from lumenaudit.functions.vectors import is_usable, list_matrix, pack16, unit, unpack16
+from lumenaudit.llm.cells import PLACED, by_cell, cell_counts, chunk_of, placed
 
 MAX_CELLS = 1 << 16
 
@@ -175,13 +175,14 @@ def similar_vectors(
     Loss: two records that share none of their ``probes`` best cells do not meet.
     """
     src = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<float>").alias("v")).where(F.col("vec_id").isNotNull() & (F.size("v") == dim))
-    shape = cell_shape(vectors.count(), dim, rows_per_cell)
+    total = vectors.count()
+    shape = cell_shape(total, dim, rows_per_cell)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, cells in _hashed(batches, dim, shape, probes, seed):
             yield cell_counts(cells)
 
-    every, copies = src, _saturated(src, k)
+    every, copies = src, _saturated(src, k, dim)
     if copies is not None:
         src = src.withColumns(_digest()).join(copies.select("h", "g", "last"), (F.col("h") == F.col("_h")) & (F.col("g") == F.col("_g")) & (F.col("vec_id") > F.col("last")), "left_anti").select("vec_id", "v")
 
@@ -210,7 +211,7 @@ def similar_vectors(
         names = pa.schema([("vec_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("sims", pa.list_(pa.float32()))])
         return pa.Table.from_batches([b.cast(names) for b in out], names)
 
-    found = spread(src).mapInArrow(place, PLACED).groupBy("cell", "one", "two").applyInArrow(compare, "vec_id long, ids array<long>, sims array<float>")
+    found = by_cell(spread(src).mapInArrow(place, PLACED), total * probes, 2 * dim + 48).applyInArrow(compare, "vec_id long, ids array<long>, sims array<float>")
 
     # each record's lists (at most one per cell and chunk pair) become one sorted list of k
     entry = F.arrays_zip(F.transform("sims", lambda s: -F.round(s.cast("double"), 6)).alias("s"), F.col("ids").alias("i"))
@@ -228,7 +229,7 @@ def _digest() -> dict[str, Column]:
     return {"_h": F.xxhash64("v"), "_g": F.hash("v")}
 
 
-def _saturated(src: DataFrame, k: int) -> DataFrame | None:
+def _saturated(src: DataFrame, k: int, dim: int) -> DataFrame | None:
     """``h, g, first, last`` of classes of more than ``k + 1`` identical vectors; null if there are none.
 
     Every member's ``k`` nearest are then the class's smallest ids, and no other vector
@@ -241,8 +242,7 @@ def _saturated(src: DataFrame, k: int) -> DataFrame | None:
         return None
     order = Window.partitionBy("_h", "_g").orderBy("vec_id")
     # few rows per class are kept, so Spark limits classes before the shuffle
-    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
-    members = rows.join(big, ["_h", "_g"]).where(fine).select("_h", "_g", "vec_id").distinct()
+    members = rows.join(big, ["_h", "_g"]).where(is_usable("v", dim)).select("_h", "_g", "vec_id").distinct()
     first = members.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
     return cut(first.groupBy(F.col("_h").alias("h"), F.col("_g").alias("g")).agg(F.array_sort(F.collect_list("vec_id")).alias("first"), F.max("vec_id").alias("last"), F.count("*").alias("n")).where(F.col("n") == k + 1).drop("n"), "copies")
 

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from lumenaudit.functions.labels import label_key
 from lumenaudit.functions.runtime import cut, spread
-from lumenaudit.functions.vectors import dot, l2_normalize, list_matrix, pack16, unit, unpack16
-from lumenaudit.llm.cells import PLACED, cell_counts, placed, similar_groups
+from lumenaudit.functions.vectors import dot, is_usable, l2_normalize, list_matrix, pack16, unit, unpack16
+from lumenaudit.llm.cells import PLACED, by_cell, cell_counts, placed, similar_groups
 from lumenaudit.operators.components import connected_components
 
 MAX_PIVOTS = 4096
@@ -115,7 +115,7 @@ def cluster_vectors(
         on = label >= 0
         return pa.table({"vec_id": ids[on], "local": ids[label[on]]})
 
-    found = spread(src).mapInArrow(place, PLACED).groupBy("cell", "one", "two").applyInArrow(local, "vec_id long, local long")
+    found = by_cell(spread(src).mapInArrow(place, PLACED), rows * 3, 2 * dim + 48).applyInArrow(local, "vec_id long, local long")
     member = cut(found.groupBy("vec_id").agg(F.array_sort(F.collect_set("local")).alias("locals")), "locals")
     # local clusters that share a point; a record lies in few cells, so its list is short
     shared = member.where(F.size("locals") > 1).select(F.explode(F.slice("locals", 2, 1 << 30)).alias("src"), F.col("locals")[0].alias("dst"))
@@ -134,7 +134,8 @@ def describe_clusters(vectors: DataFrame, members: DataFrame, id_col: str = "vec
     record's label is the least of its rows' label keys; unlabelled records count in
     ``size`` only.
     """
-    one = vectors.where(F.size(vec_col) == dim).groupBy(F.col(id_col).cast("long").alias("vec_id")).agg(F.first(F.col(vec_col).cast("array<double>")).alias("v"), F.min(label_key(label_col)).alias("label"))
+    usable_rows = vectors.where(F.col(id_col).isNotNull() & (F.size(vec_col) == dim)).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"), label_key(label_col).alias("label"))
+    one = usable_rows.where(is_usable("v", dim)).groupBy("vec_id").agg(F.first("v").alias("v"), F.min("label").alias("label"))
     rows = members.join(one, "vec_id").withColumn("v", l2_normalize(F.col("v")))
     mean = rows.groupBy("cluster_id").agg(Summarizer.mean(array_to_vector("v")).alias("m"), F.count("*").alias("size"))
     mean = mean.select("cluster_id", "size", l2_normalize(vector_to_array("m")).alias("m"))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lumenaudit.functions.runtime import cut, parallelism
 from lumenaudit.functions.vectors import list_matrix, pack, unit, unpack
-from lumenaudit.llm.cells import PLACED, Groups, cell_counts, placed, similar_groups
+from lumenaudit.llm.cells import PLACED, Groups, by_cell, cell_counts, placed, similar_groups
 from lumenaudit.llm.cross_polytope import best_cells, cell_shape
 from lumenaudit.operators.components import connected_components
 
@@ -140,7 +140,7 @@ def _overlap(flat: np.ndarray, start: np.ndarray, size: np.ndarray, a: np.ndarra
 def vector_links(vectors: DataFrame, id_col: str, vec_col: str, dim: int, above: float, probes: int = 3, rows_per_cell: int = 450, chunk_rows: int = 16384, seed: int = 40, sizes_from: DataFrame | None = None) -> DataFrame:
     """``src, dst``: links that join all vectors whose cosine is above ``above``.
 
-    ``id_col`` must be unique. The strongest ``probes`` signed axes of the turned vector
+    Rows of one id are one vector. The strongest ``probes`` signed axes of the turned vector
     are its grams. Unusable vectors have no links. ``sizes_from``: a table with the same
     columns that holds at least the rows of ``vectors`` and is cheaper to read twice; the
     sizes of the cells are counted there, as upper bounds.
@@ -150,7 +150,8 @@ def vector_links(vectors: DataFrame, id_col: str, vec_col: str, dim: int, above:
         return df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<float>").alias("v")).where(F.col("vec_id").isNotNull() & (F.size("v") == dim))
 
     src, counted = source(vectors), source(vectors if sizes_from is None else sizes_from)
-    shape = cell_shape((vectors if sizes_from is None else sizes_from).count(), dim, rows_per_cell)
+    total = (vectors if sizes_from is None else sizes_from).count()
+    shape = cell_shape(total, dim, rows_per_cell)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
         for batch in batches:
@@ -177,7 +178,7 @@ def vector_links(vectors: DataFrame, id_col: str, vec_col: str, dim: int, above:
         on = (label >= 0) & (label != np.arange(len(ids)))
         return pa.table({"src": ids[on], "dst": ids[label[on]]})
 
-    return src.mapInArrow(place, PLACED).groupBy("cell", "one", "two").applyInArrow(product, "src long, dst long")
+    return by_cell(src.mapInArrow(place, PLACED), total * probes, 4 * dim + 48).applyInArrow(product, "src long, dst long")
 
 
 def near_duplicate_groups(
@@ -198,7 +199,7 @@ def near_duplicate_groups(
     if vectors is not None:
         ids = one.select("vec_id")
         raw = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v"))
-        own = raw.where(F.size("v") == dim).join(ids, "vec_id", "left_semi").dropDuplicates(["vec_id"])
+        own = raw.where(F.size("v") == dim).join(ids, "vec_id", "left_semi")
         links = links.unionByName(vector_links(own, "vec_id", "v", dim, above, sizes_from=raw))
     joined = connected_components(links)
     sizes = joined.groupBy("root").agg(F.count("*").alias("size"))

@@ -58,7 +58,7 @@ def test_groups_by_both_links(spark):
     names = ["/a/cat one two three four.jpg", "/b/CAT-one-two-three-four.png", "/c/x1.jpg", "/c/x2.jpg", None, "/d/.jpg", "/e/alone.jpg"]
     records = spark.createDataFrame([(i, p, "l", "e", 0) for i, p in enumerate(names)] + [(0, "/a/cat one two three four.jpg", "m", "e", 0), (None, "/q/x.jpg", "", "", 1)], rec)
     v = {1: [1.0, 0, 0, 0.1], 2: [1.0, 0, 0, 0.2], 4: [0, 1.0, 0, 0], 5: [0, 2.0, 0.1, 0], 6: [0, 0, 1.0, 0], 99: [0, 0, 1.0, 0.01], 3: [0.0] * 4}
-    vectors = spark.createDataFrame([(i, [float(y) for y in x], "z") for i, x in v.items()] + [(1, None, "z"), (2, [1.0], "z")], "vec_id long, embedding array<float>, size string")
+    vectors = spark.createDataFrame([(i, [float(y) for y in x], "z") for i, x in v.items()] + [(1, None, "z"), (2, [1.0], "z"), (1, [float("nan"), 0.0, 0.0, 0.0], "z"), (2, [0.0] * 4, "z")], "vec_id long, embedding array<float>, size string")
     got = near_duplicate_groups(records, vectors, dim=4)
     assert {(r.vec_id, r.group_id, r.size) for r in got.collect()} == {(0, 0, 3), (1, 0, 3), (2, 0, 3), (4, 4, 2), (5, 4, 2)}
     assert {tuple(r) for r in pairs_of_groups(got).collect()} == {(0, 1), (0, 2), (1, 2), (4, 5)}
