@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lumenaudit.functions.runtime import spread
 from lumenaudit.functions.vectors import as_double, dot
 from lumenaudit.operators.metrics import zscores
-from lumenaudit.operators.similarity import CHUNK_ROWS, _matrix, _scores, centroid_distances, duplicate_clusters
+from lumenaudit.operators.similarity import CHUNK_ROWS, _blocks, _chunks, _matrix, _scores, centroid_distances, duplicate_clusters
 
 REAL = "unknown"
 
@@ -63,7 +63,7 @@ def assign_to_centers(vectors: DataFrame, centers: DataFrame, id_col: str = "vec
 def silhouette(vectors: DataFrame, cluster: str, id_col: str = "vec_id", vec_col: str = "embedding", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """``vec_id, cluster, silhouette`` with Euclidean distances; 0 in clusters of one row. Exact, chunk by chunk."""
     rows = vectors.where(F.col(vec_col).isNotNull() & F.col(cluster).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(cluster).cast("string").alias("c"), as_double(vec_col).alias("v"))
-    n = max(1, -(-rows.count() // chunk_rows))
+    n = _chunks(rows, chunk_rows)
     own = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     grid = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     src = spread(rows)
@@ -75,14 +75,15 @@ def silhouette(vectors: DataFrame, cluster: str, id_col: str = "vec_id", vec_col
         v = _matrix(group.column("v"))
         a, b = np.flatnonzero(q), np.flatnonzero(~q)
         names, code = np.unique(c[b].astype(str), return_inverse=True)
-        out = [], [], [], []
+        out = [np.zeros(0, np.int64)], [np.zeros(0, object)], [np.zeros(0, object)], [np.zeros(0)]
         hot = np.eye(len(names))[code] if len(b) else np.zeros((0, 0))
-        for at in range(0, len(a), 512):
-            r = a[at : at + 512]
+        for r in _blocks(a, len(b)):
             s = -_scores(v[r], v[b], "euclidean") @ hot if len(b) else np.zeros((len(r), 0))
-            for i, j in np.ndindex(s.shape):
-                out[0].append(int(ids[r[i]])), out[1].append(c[r[i]]), out[2].append(names[j]), out[3].append(float(s[i, j]))
-        return pa.table({"id": pa.array(out[0], pa.int64()), "c": pa.array(out[1], pa.string()), "o": pa.array(out[2], pa.string()), "s": pa.array(out[3], pa.float64())})
+            k = s.shape[1]
+            for to, part in zip(out, (np.repeat(ids[r], k), np.repeat(c[r], k), np.tile(names.astype(object), len(r)), s.ravel())):
+                to.append(part)
+        ids, c, o, total = (np.concatenate(x) for x in out)
+        return pa.table({"id": pa.array(ids, pa.int64()), "c": pa.array(c, pa.string()), "o": pa.array(o, pa.string()), "s": pa.array(total, pa.float64())})
 
     part = both.groupBy("one", "two").applyInArrow(sums, "id long, c string, o string, s double").groupBy("id", "c", "o").agg(F.sum("s").alias("s"))
     sizes = rows.groupBy(F.col("c").alias("o")).agg(F.count("*").alias("n"))

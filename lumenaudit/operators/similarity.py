@@ -8,6 +8,9 @@ rows asked for (the k best, or pairs above a bound) leave a task.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -18,17 +21,34 @@ from lumenaudit.functions.runtime import spread
 from lumenaudit.functions.vectors import as_double, euclidean, norm
 from lumenaudit.operators.components import connected_components
 
-CHUNK_ROWS = 4096
+#: Rows of a chunk at most. Every row is sent to as many tasks as there are chunks.
+CHUNK_ROWS = 16384
 
 
 def _rows(df: DataFrame, id_col: str, vec_col: str, *more: Column) -> DataFrame:
-    return df.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), as_double(vec_col).alias("v"), *more)
+    # floats travel as they are, at half the size, and are widened in the task
+    v = F.col(vec_col) if dict(df.dtypes)[vec_col] in ("array<float>", "array<double>") else as_double(vec_col)
+    return df.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), v.alias("v"), *more)
+
+
+def _chunks(df: DataFrame, chunk_rows: int) -> int:
+    """Chunks of a table: none above ``chunk_rows``, and enough for pairs of them to fill the cores."""
+    n = df.count()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-n // chunk_rows), min(math.ceil(math.sqrt(2 * cores)), n // 256))
+
+
+def _blocks(rows: np.ndarray, cols: int) -> Iterator[np.ndarray]:
+    """Rows in runs whose product with ``cols`` columns stays small."""
+    step = max(16, min(512, (1 << 22) // max(1, cols)))
+    for at in range(0, len(rows), step):
+        yield rows[at : at + step]
 
 
 def _matrix(col: pa.ChunkedArray) -> np.ndarray:
     n = len(col)
     col = pa.chunked_array(col).combine_chunks() if not isinstance(col, pa.ChunkedArray) else col.combine_chunks()
-    return col.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 1))
+    return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(n, -1) if n else np.zeros((0, 1))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -55,7 +75,7 @@ def _scores(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
 
 def _chunk_pairs(queries: DataFrame, base: DataFrame, chunk_rows: int) -> DataFrame:
     """Rows of both sides with the pair of chunks they meet in: ``one`` of queries, ``two`` of base."""
-    nq, nb = (max(1, -(-d.count() // chunk_rows)) for d in (queries, base))
+    nq, nb = (_chunks(d, chunk_rows) for d in (queries, base))
     own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     grid = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     q = spread(queries).select("id", "v", F.lit(True).alias("q"), own(nq).alias("one"), grid(nb).alias("two"))
@@ -82,8 +102,7 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, id_col: str = "vec_id"
         if len(qi) and len(bi):
             bi = bi[np.argsort(ids[bi], kind="stable")]
             v = _matrix(group.column("v"))
-            for at in range(0, len(qi), 512):
-                rows = qi[at : at + 512]
+            for rows in _blocks(qi, len(bi)):
                 # ties are decided on rounded scores, as sums of products differ in the last digits
                 raw = _scores(v[rows], v[bi], metric)
                 s = np.round(raw, 9)
@@ -125,8 +144,7 @@ def similar_pairs(vectors: DataFrame, above: float, id_col: str = "vec_id", vec_
         u = _unit(_matrix(group.column("v")))
         a, b = np.flatnonzero(is_q), np.flatnonzero(~is_q)
         src, dst, sim = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-        for at in range(0, len(a), 512):
-            rows = a[at : at + 512]
+        for rows in _blocks(a, len(b)):
             s = u[rows] @ u[b].T
             r, c = np.nonzero((s > above) & (ids[rows][:, None] < ids[b][None, :]))
             src.append(ids[rows][r]), dst.append(ids[b][c]), sim.append(s[r, c])
@@ -143,8 +161,8 @@ def duplicate_clusters(vectors: DataFrame, above: float = 0.90, id_col: str = "v
     groups, so a large cluster sends one row per member and chunk pair. Zero and null
     vectors are in no cluster.
     """
-    rows = _rows(vectors, id_col, vec_col).where(norm(F.col("v")) > 0)
-    n = max(1, -(-rows.count() // chunk_rows))
+    rows = _rows(vectors, id_col, vec_col).where(norm(as_double("v")) > 0)
+    n = _chunks(rows, chunk_rows)
     own = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     cross = spread(rows).select("id", "v", own.alias("o"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("x"))
     placed = cross.select("id", "v", F.least("o", "x").alias("one"), F.greatest("o", "x").alias("two"))
@@ -264,8 +282,8 @@ def intra_class_diversity(vectors: DataFrame, label: str, id_col: str = "vec_id"
         one, two = key[1].as_py(), key[2].as_py()
         a, b = v[o == one], v[o == two]
         total = square = 0.0
-        for at in range(0, len(a), 512):
-            d = -_scores(a[at : at + 512], b, "euclidean")
+        for rows in _blocks(np.arange(len(a)), len(b)):
+            d = -_scores(a[rows], b, "euclidean")
             total += float(d.sum())
             square += float((d * d).sum())
         both = 1.0 if one == two else 2.0
