@@ -139,7 +139,7 @@ def describe_clusters(vectors: DataFrame, members: DataFrame, id_col: str = "vec
     rows = members.join(one, "vec_id").withColumn("v", l2_normalize(F.col("v")))
     mean = rows.groupBy("cluster_id").agg(Summarizer.mean(array_to_vector("v")).alias("m"), F.count("*").alias("size"))
     mean = mean.select("cluster_id", "size", l2_normalize(vector_to_array("m")).alias("m"))
-    near = rows.select("cluster_id", "vec_id", "v").join(mean, "cluster_id").select("cluster_id", "vec_id", "size", dot(F.col("v"), F.col("m")).alias("s"))
+    near = cut(rows.select("cluster_id", "vec_id", "v").join(mean, "cluster_id").select("cluster_id", "vec_id", "size", dot(F.col("v"), F.col("m")).alias("s")), "near")
     order = Window.partitionBy("cluster_id").orderBy(F.desc("s"), "vec_id")
     top = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= typical).groupBy("cluster_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "vec_id"))), lambda x: x["vec_id"]), ",").alias("medoids"))
     stats = near.groupBy("cluster_id").agg(F.first("size").alias("size"), F.round(F.avg("s"), 6).alias("cohesion"))

@@ -23,7 +23,9 @@ from lumenaudit.functions.runtime import cut, parallelism
 
 
 def percentile_state(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
-    """``*group, value, n``: how often each value occurs. Null and NaN values are left out; null group values are groups."""
+    """``*group, value, n``: how often each value occurs. Null and NaN values are left out; null group values are groups. Group columns must not be named like the state's own."""
+    if {"value", "n"} & set(group):
+        raise ValueError("group columns cannot be named value or n")
     v = F.col(value).cast("double")
     # -0.0 and 0.0 are one value
     return df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*group, (v + F.lit(0.0)).alias("value")).agg(F.count("*").alias("n"))
