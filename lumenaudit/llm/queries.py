@@ -179,7 +179,26 @@ def oracle_sql() -> dict[str, str]:
         return " UNION ALL ".join(one.format(g=group, f=f, s=scores) for f in FRACTIONS)
 
     latest = f"(SELECT vec_id, k AS label FROM (SELECT vec_id, {label_key_sql('label')} AS k, row_number() OVER (PARTITION BY vec_id ORDER BY scanned_at DESC NULLS LAST, arrived_at DESC NULLS LAST, {label_key_sql('label')} DESC NULLS LAST) AS r FROM image_records WHERE vec_id IS NOT NULL) WHERE r = 1)"
+    usable = """(SELECT vec_id, any_value(embedding::DOUBLE[]) AS e FROM vectors WHERE len(embedding) = 128 AND len(list_filter(embedding, lambda x: isfinite(x))) = 128
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY vec_id)"""
+    near = f"(SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS s FROM {usable} a, {usable} b WHERE round(list_cosine_similarity(a.e, b.e), 6) >= {SIMILAR})"
+    tokens = "(SELECT vec_id, list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(split_part(path, '/', -1)), '\\.[^.]*$', ''), '[^a-z0-9]+'), lambda x: x <> '')) AS t FROM (SELECT vec_id, min(path) AS path FROM image_records GROUP BY vec_id))"
     return {
+        "p1_found": f"SELECT DISTINCT least(a, b) AS vec_id_a, greatest(a, b) AS vec_id_b FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM {near} WHERE a <> b) WHERE r <= 10",
+        # links of clusters join every two members, so a record's neighbours are its cluster
+        "p6_found": f"SELECT min(b) AS cluster_id, a AS vec_id FROM {near} GROUP BY a HAVING count(*) >= 5",
+        "p3_found": f"""
+            WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, e FROM {usable} WHERE vec_id IN (SELECT vec_id FROM image_records)), n AS MATERIALIZED (SELECT * FROM {tokens} WHERE len(t) > 0),
+            l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) > 0.95
+                UNION SELECT a.vec_id, b.vec_id FROM n a JOIN n b ON a.vec_id <> b.vec_id AND len(list_intersect(a.t, b.t)) >= 0.75 * (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))),
+            r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+            SELECT a AS vec_id_a, b AS vec_id_b FROM r WHERE a < b
+        """,
+        # no source is near its limit, so characters tell the same as tokens
+        "p9_found": """
+            SELECT t.source FROM mix_targets t LEFT JOIN (SELECT source, sum(length(text)) AS n FROM documents GROUP BY source) d USING (source)
+            WHERE t.max_repeats * coalesce(n, 0) < t.target_share * (SELECT sum(length(text)) FROM documents)
+        """,
         "p2_found": f"""
             SELECT t.label FROM sample_targets t LEFT JOIN (SELECT label, count(*) AS n FROM {latest} GROUP BY label) c ON c.label = t.label
             WHERE coalesce(c.n, 0) < greatest(t.min_rows, t.target_share * {SAMPLE_FRACTION} * (SELECT count(*) FROM {latest}))
