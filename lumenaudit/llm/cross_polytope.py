@@ -211,7 +211,7 @@ def similar_vectors(
         names = pa.schema([("vec_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("sims", pa.list_(pa.float32()))])
         return pa.Table.from_batches([b.cast(names) for b in out], names)
 
-    found = by_cell(spread(src).mapInArrow(place, PLACED), total * probes, 2 * dim + 48).applyInArrow(compare, "vec_id long, ids array<long>, sims array<float>")
+    found = by_cell((spread(src) if copies is None else src).mapInArrow(place, PLACED), total * probes, 2 * dim + 48).applyInArrow(compare, "vec_id long, ids array<long>, sims array<float>")
 
     # each record's lists (at most one per cell and chunk pair) become one sorted list of k
     entry = F.arrays_zip(F.transform("sims", lambda s: -F.round(s.cast("double"), 6)).alias("s"), F.col("ids").alias("i"))
