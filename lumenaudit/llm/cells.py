@@ -50,9 +50,12 @@ def placed(ids: pa.Array, payload: pa.Array, cells: np.ndarray, chunks: dict[int
 TASK_BYTES = 48 << 20
 
 
-def by_cell(rows: DataFrame, expected: int, row_bytes: int) -> GroupedData:
-    """Placed rows grouped by cell and chunk pair, in as many tasks as ``expected`` rows of that size need."""
-    tasks = max(parallelism(rows.sparkSession), -(-expected * row_bytes // TASK_BYTES))
+def by_cell(rows: DataFrame, expected: int, row_bytes: int, large: int = 0) -> GroupedData:
+    """Placed rows grouped by cell and chunk pair, in as many tasks as ``expected`` rows of that size need.
+
+    ``large``: how many groups are long work each; more tasks then keep two of them from sharing one.
+    """
+    tasks = max(parallelism(rows.sparkSession), -(-expected * row_bytes // TASK_BYTES), 4 * large)
     keys = ["cell", "one", "two"]
     return rows.repartition(tasks, *keys).groupBy(*keys)
 

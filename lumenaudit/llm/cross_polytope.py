@@ -25,6 +25,9 @@ from lumenaudit.functions.runtime import cut, spread
 from lumenaudit.functions.vectors import is_usable, list_matrix, pack16, unit, unpack16
 from lumenaudit.llm.cells import PLACED, by_cell, cell_counts, chunk_of, placed
 
+#: Rows of a chunk where every two chunks are compared.
+EXACT_ROWS = 24_576
+
 MAX_CELLS = 1 << 16
 
 
@@ -162,7 +165,7 @@ def _lists(rows: np.ndarray, ids: np.ndarray, sims: np.ndarray, q_ids: np.ndarra
 
 def similar_vectors(
     vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", dim: int = 128,
-    min_similarity: float = -1.0, probes: int = 5, rows_per_cell: int = 450, chunk_rows: int = 16384, seed: int = 20,
+    min_similarity: float = -1.0, probes: int = 5, rows_per_cell: int = 450, chunk_rows: int = 16384, seed: int = 20, exact: bool = False,
 ) -> DataFrame:
     """``vec_id, neighbor_id, similarity, rank``: the ``k`` most similar other records of each record.
 
@@ -172,11 +175,14 @@ def similar_vectors(
     short, too long, all zero or not finite take no part. Exact copies are neighbours of
     similarity 1. An empty table gives an empty result. Other columns are not read.
 
-    Loss: two records that share none of their ``probes`` best cells do not meet.
+    Loss: two records that share none of their ``probes`` best cells do not meet. With
+    ``exact`` all records are one cell in chunks of ``EXACT_ROWS``: every two records are
+    compared, none is lost, and the work is quadratic in the rows.
     """
     src = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<float>").alias("v")).where(F.col("vec_id").isNotNull() & (F.size("v") == dim))
     total = vectors.count()
     shape = cell_shape(total, dim, rows_per_cell)
+    whole = max(1, -(-total // EXACT_ROWS)) if exact else 0
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, cells in _hashed(batches, dim, shape, probes, seed):
@@ -187,12 +193,15 @@ def similar_vectors(
         src = src.withColumns(_digest()).join(copies.select("h", "g", "last"), (F.col("h") == F.col("_h")) & (F.col("g") == F.col("_g")) & (F.col("vec_id") > F.col("last")), "left_anti").select("vec_id", "v")
 
     # one number per cell; no more than MAX_CELLS rows reach the driver
-    hot = src.mapInArrow(counted, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > chunk_rows)
-    chunks = {r["cell"]: -(-r["n"] // chunk_rows) for r in hot.collect()}
+    if exact:
+        chunks = {0: whole}
+    else:
+        hot = src.mapInArrow(counted, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > chunk_rows)
+        chunks = {r["cell"]: -(-r["n"] // chunk_rows) for r in hot.collect()}
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, units, cells in _hashed(batches, dim, shape, probes, seed):
-            yield placed(ids, pack16(units), cells, chunks)
+            yield placed(ids, pack16(units), np.zeros((len(ids), 1), np.int32) if exact else cells, chunks)
 
     def compare(key: tuple, group: pa.Table) -> pa.Table:
         _, one, two = (x.as_py() for x in key)
@@ -211,7 +220,7 @@ def similar_vectors(
         names = pa.schema([("vec_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("sims", pa.list_(pa.float32()))])
         return pa.Table.from_batches([b.cast(names) for b in out], names)
 
-    found = by_cell((spread(src) if copies is None else src).mapInArrow(place, PLACED), total * probes, 2 * dim + 48).applyInArrow(compare, "vec_id long, ids array<long>, sims array<float>")
+    found = by_cell((spread(src) if copies is None else src).mapInArrow(place, PLACED), total * (whole or probes), 2 * dim + 48, whole * (whole + 1) // 2).applyInArrow(compare, "vec_id long, ids array<long>, sims array<float>")
 
     # each record's lists (at most one per cell and chunk pair) become one sorted list of k
     entry = F.arrays_zip(F.transform("sims", lambda s: -F.round(s.cast("double"), 6)).alias("s"), F.col("ids").alias("i"))

@@ -33,7 +33,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_neighbors(spark: SparkSession, d: str) -> DataFrame:
     """The ten most similar other records of every usable record, whatever their similarity."""
-    return similar_vectors(table(spark, d, "vectors"), k=10)
+    return similar_vectors(table(spark, d, "vectors"), k=10, exact=True)
 
 
 #: Parameter: the sample's part of all records.

@@ -96,6 +96,20 @@ def test_similar_vectors_of_a_hot_group_of_copies(spark):
     assert all(len({x.rank for x in found if x.vec_id == i}) == 4 for i in range(100, 160))
 
 
+def test_neighbors_query_is_whole_at_any_similarity(spark, tmp_path, monkeypatch):
+    from lumenaudit.llm import cross_polytope, queries
+
+    # far neighbours only: at the cells of a large table few of them share a cell
+    rng = np.random.default_rng(3)
+    rows = [(i, "x", rng.normal(size=128)) for i in range(300)]
+    table(spark, rows + [(900, "bad", None)]).write.parquet(str(tmp_path / "vectors.parquet"))
+    monkeypatch.setattr(cross_polytope, "cell_shape", lambda *_: (128, 1))
+    monkeypatch.setattr(cross_polytope, "EXACT_ROWS", 80, raising=False)
+    got = {(r.vec_id, r.neighbor_id) for r in queries.p1_neighbors(spark, str(tmp_path)).collect()}
+    want = truth(rows, 10, -1.0)
+    assert len(got) == 3000 and len(got & want) >= 0.999 * len(want)
+
+
 def test_similar_vectors_empty(spark):
     assert similar_vectors(table(spark, BAD), dim=16).count() == 0
     assert similar_vectors(table(spark, []), dim=16).columns == ["vec_id", "neighbor_id", "similarity", "rank"]
