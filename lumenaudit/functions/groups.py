@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from lumenaudit.functions.vectors import unit
+
 
 class Groups:
     """Disjoint groups of 0..n-1, joined by arrays of edges; the label of a group is its least member."""
@@ -89,3 +91,57 @@ def similar_groups(units: np.ndarray, least: float, strict: bool, counts_of: int
     reached = ~core & (owner < n)
     out[reached] = groups.label[owner[reached]]
     return out
+
+
+def linked_groups(rows: np.ndarray, left: np.ndarray, right: np.ndarray, above: float, block: int = 512, wide: int = 4096) -> np.ndarray:
+    """Labels of the groups that links of cosine above ``above`` join; each row's own number if in none.
+
+    Every row of ``left`` is compared with every row of ``right``: two sets that share no
+    row, or one and the same. Equal rows are compared once, and blocks that lie in one
+    group already not at all. Single-precision products find links; those within 1e-5 of
+    the bound are computed again in double precision.
+    """
+    groups = Groups(len(rows))
+    if not len(left) or not len(right):
+        return groups.label
+    same = left is right
+    whole = np.ascontiguousarray(rows).view(np.dtype((np.void, rows.shape[1] * rows.itemsize))).ravel()
+    _, first, back = np.unique(whole, return_index=True, return_inverse=True)
+    groups.join(np.arange(len(rows)), first[back.ravel()])
+    alone = np.zeros(len(rows), bool)
+    alone[first] = True
+    if same:
+        left = right = left[alone[left]]
+    else:
+        # a row whose equal is on the other side is linked already, but speaks for its side
+        left, right = (x[np.unique(back.ravel()[x], return_index=True)[1]] for x in (left, right))
+    f = [np.concatenate([unit(rows[x[at : at + wide]]).astype(np.float32) for at in range(0, len(x), wide)]) for x in ((left,) if same else (left, right))]
+    q, base = f[0], f[-1]
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    held = 0
+    for at in range(0, len(left), block):
+        for to in range(at if same else 0, len(right), wide):
+            here, there = left[at : at + block], right[to : to + wide]
+            own = groups.label[here[0]]
+            if (groups.label[here] == own).all() and (groups.label[there] == own).all():
+                continue
+            s = q[at : at + block] @ base[to : to + wide].T
+            hit = np.flatnonzero(s > above - 1e-5)
+            i, j, near = here[hit // s.shape[1]], there[hit % s.shape[1]], s.ravel()[hit]
+            new = groups.label[i] != groups.label[j]
+            i, j, near = i[new], j[new], near[new]
+            close = np.flatnonzero(near < above + 1e-5)
+            if len(close):
+                keep = np.ones(len(i), bool)
+                for part in np.array_split(close, -(-len(close) // wide)):
+                    keep[part] = np.einsum("ij,ij->i", unit(rows[i[part]]), unit(rows[j[part]])) > above
+                i, j = i[keep], j[keep]
+            if len(i):
+                found.append((i, j))
+                held += len(i)
+            if held > 1 << 18:
+                groups.join(*(np.concatenate(x) for x in zip(*found)))
+                found, held = [], 0
+    if found:
+        groups.join(*(np.concatenate(x) for x in zip(*found)))
+    return groups.label

@@ -3,9 +3,9 @@
 Names: a record is the set of tokens of its file name. The record by token incidence
 matrix is multiplied with its transpose in blocks, one block for each rare token that two
 agreeing sets must share (the size-derived prefix); the products are overlap counts, and
-pairs whose sizes or counts stay below the bound are dropped. Vectors take the same way
-with their strongest signed axes as grams: rows that share an axis form a block, and the
-block's product with its transpose keeps pairs above the similarity bound. Both kinds of
+pairs whose sizes or counts stay below the bound are dropped. Vectors are dense and have
+no rare part that two similar ones must share: they are dealt to chunks, and the product
+of every two chunks keeps pairs above the similarity bound, so none is lost. Both kinds of
 links are reduced to groups inside their block, so a block of many copies sends one row
 per record, never its pairs; groups are then joined across blocks.
 """
@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenaudit.functions.groups import Groups, linked_groups
 from lumenaudit.functions.runtime import cut, parallelism
-from lumenaudit.functions.vectors import list_matrix, pack, unit, unpack
-from lumenaudit.llm.cells import PLACED, Groups, by_cell, cell_counts, placed, similar_groups
-from lumenaudit.llm.cross_polytope import best_cells, cell_shape
+from lumenaudit.functions.vectors import list_matrix, pack, unpack
+from lumenaudit.llm.cells import PLACED, by_cell, chunk_of, placed
 from lumenaudit.operators.components import connected_components
 
 
@@ -137,48 +137,36 @@ def _overlap(flat: np.ndarray, start: np.ndarray, size: np.ndarray, a: np.ndarra
     return total
 
 
-def vector_links(vectors: DataFrame, id_col: str, vec_col: str, dim: int, above: float, probes: int = 3, rows_per_cell: int = 450, chunk_rows: int = 16384, seed: int = 40, sizes_from: DataFrame | None = None) -> DataFrame:
+def vector_links(vectors: DataFrame, id_col: str, vec_col: str, dim: int, above: float, chunk_rows: int = 40_960, sizes_from: DataFrame | None = None) -> DataFrame:
     """``src, dst``: links that join all vectors whose cosine is above ``above``.
 
-    Rows of one id are one vector. The strongest ``probes`` signed axes of the turned vector
-    are its grams. Unusable vectors have no links. ``sizes_from``: a table with the same
-    columns that holds at least the rows of ``vectors`` and is cheaper to read twice; the
-    sizes of the cells are counted there, as upper bounds.
+    Every two vectors are compared: the rows are dealt to chunks, each pair of chunks is a
+    task, and its links are reduced to groups there. Equal vectors are compared once. Rows
+    of one id are one vector. Unusable vectors have no links. ``sizes_from``: a table with
+    the same columns that holds at least the rows of ``vectors`` and is cheaper to read
+    twice; the number of chunks is taken from it, as an upper bound.
     """
-
-    def source(df: DataFrame) -> DataFrame:
-        return df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<float>").alias("v")).where(F.col("vec_id").isNotNull() & (F.size("v") == dim))
-
-    src, counted = source(vectors), source(vectors if sizes_from is None else sizes_from)
+    src = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<float>").alias("v")).where(F.col("vec_id").isNotNull() & (F.size("v") == dim))
     total = (vectors if sizes_from is None else sizes_from).count()
-    shape = cell_shape(total, dim, rows_per_cell)
+    many = max(1, -(-total // chunk_rows))
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok, m = list_matrix(batch.column(1), dim)
             if len(m):
-                yield batch.column(0).filter(pa.array(ok)), m, best_cells(unit(m), shape, probes, seed)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, cells in hashed(batches):
-            yield cell_counts(cells)
-
-    # a cell has one number; their count is bounded by cell_shape
-    hot = counted.mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > chunk_rows)
-    chunks = {r["cell"]: -(-r["n"] // chunk_rows) for r in hot.collect()}
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, m, cells in hashed(batches):
-            yield placed(ids, pack(m), cells, chunks)
+                yield placed(batch.column(0).filter(pa.array(ok)), pack(m), np.zeros((len(m), 1), np.int32), {0: many})
 
     def product(key: tuple, group: pa.Table) -> pa.Table:
+        _, one, two = (x.as_py() for x in key)
         ids, at = np.unique(group.column("vec_id").to_numpy(), return_index=True)
-        u = unit(unpack(group.column("v").combine_chunks().take(pa.array(at)), dim, "<f4"))
-        label = similar_groups(u, above, True)
-        on = (label >= 0) & (label != np.arange(len(ids)))
+        m = unpack(group.column("v").combine_chunks().take(pa.array(at)), dim, "<f4")
+        own = chunk_of(ids, many)
+        a = np.flatnonzero(own == one)
+        label = linked_groups(m, a, a if one == two else np.flatnonzero(own == two), above)
+        on = label != np.arange(len(ids))
         return pa.table({"src": ids[on], "dst": ids[label[on]]})
 
-    return by_cell(src.mapInArrow(place, PLACED), total * probes, 4 * dim + 48).applyInArrow(product, "src long, dst long")
+    return by_cell(src.mapInArrow(place, PLACED), total * many, 4 * dim + 48, many * (many + 1) // 2).applyInArrow(product, "src long, dst long")
 
 
 def near_duplicate_groups(

@@ -153,3 +153,28 @@ def test_components_of_chains_and_stars(spark):
 
 def test_pattern_of_tokens_matches_the_plain_reading():
     assert re.findall("[a-z0-9]+", "a-b_c1") == ["a", "b", "c1"]
+
+
+@pytest.mark.parametrize("chunk_rows", [40_960, 300])
+def test_vector_links_are_whole_at_any_number_of_rows(spark, monkeypatch, chunk_rows):
+    from lumenaudit.functions.vectors import unit
+    from lumenaudit.llm import near_duplicates
+
+    # pairs just above and below the bound; at the cells of a large table some of them share none
+    rng = np.random.default_rng(5)
+    a = unit(rng.normal(size=(400, 128)))
+    turn = rng.normal(size=(400, 128))
+    turn = unit(turn - (turn * a).sum(1, keepdims=True) * a)
+    cos = np.where(np.arange(400) % 4 == 0, 0.947, 0.953)[:, None]
+    x = np.concatenate([a, cos * a + np.sqrt(1 - cos**2) * turn, a[:50] * 3]).astype(np.float32)
+    if hasattr(near_duplicates, "cell_shape"):
+        monkeypatch.setattr(near_duplicates, "cell_shape", lambda *_: (128, 5))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<float>")
+    links = near_duplicates.vector_links(df, "vec_id", "v", 128, 0.95, chunk_rows=chunk_rows)
+    got = {}
+    for r in near_duplicates.connected_components(links).collect():
+        got.setdefault(r.root, set()).add(r.node)
+    u = unit(x)
+    s = u @ u.T
+    want = {frozenset(np.flatnonzero(s[i] > 0.95).tolist()) for i in range(400) if (s[i] > 0.95).sum() > 1}
+    assert {frozenset(g) for g in got.values()} == want
