@@ -96,6 +96,23 @@ def test_similar_vectors_of_a_hot_group_of_copies(spark):
     assert all(len({x.rank for x in found if x.vec_id == i}) == 4 for i in range(100, 160))
 
 
+@pytest.mark.parametrize("rows", [12_100, 121_000, 1_200_000, 12_000_000])
+def test_similar_pairs_meet_at_any_number_of_rows(spark, monkeypatch, rows):
+    from lumenaudit.llm import cross_polytope
+
+    # pairs of cosine 0.85 to 0.92, compared in the cells of a table of so many rows
+    rng = np.random.default_rng(9)
+    a = unit(rng.normal(size=(600, 128)))
+    turn = rng.normal(size=(600, 128))
+    turn = unit(turn - (turn * a).sum(1, keepdims=True) * a)
+    cos = rng.uniform(0.85, 0.92, (600, 1))
+    x = np.concatenate([a, cos * a + np.sqrt(1 - cos**2) * turn])
+    shape = cell_shape(rows, 128, 450)
+    monkeypatch.setattr(cross_polytope, "cell_shape", lambda *_: shape)
+    got = {(r.vec_id, r.neighbor_id) for r in similar_vectors(table(spark, [(i, "x", v) for i, v in enumerate(x)]), min_similarity=0.72).collect()}
+    assert sum((i, i + 600) in got and (i + 600, i) in got for i in range(600)) >= 0.985 * 600
+
+
 def test_neighbors_query_is_whole_at_any_similarity(spark, tmp_path, monkeypatch):
     from lumenaudit.llm import cross_polytope, queries
 
