@@ -38,9 +38,24 @@ def _exact_mean(c: Column) -> Column:
     FROM {_KEYED} q JOIN sample_targets t ON q.k = t.label GROUP BY q.k
 """)
 def p7_label_report(spark: SparkSession, d: str) -> DataFrame:
-    """Measurements of each label with the label's wanted share, joined without hot tasks."""
+    """Measurements of each label that has a target, with its wanted share, joined without hot tasks. ``p7_labels`` has all labels."""
+    return _report(spark, d, "inner")
+
+
+@query(f"""
+    SELECT q.k AS label, count(*) AS n_rows, count(DISTINCT q.measure_id) AS n_measures,
+           sum(CAST(CASE WHEN isnan(quality_score) THEN NULL ELSE quality_score END AS DECIMAL(18, 5)))::DOUBLE / count(CASE WHEN isnan(quality_score) THEN NULL ELSE quality_score END) AS mean_score,
+           sum(CAST(brightness AS DECIMAL(18, 5)))::DOUBLE / count(brightness) AS mean_brightness, max(t.target_share) AS target_share, max(t.min_rows) AS min_rows
+    FROM {_KEYED} q LEFT JOIN sample_targets t ON q.k = t.label GROUP BY q.k
+""")
+def p7_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Measurements of every label, with a target or without; rows without a label are a group of their own."""
+    return _report(spark, d, "left")
+
+
+def _report(spark: SparkSession, d: str, how: str) -> DataFrame:
     rows = table(spark, d, "quality_scores").select(label_key("label").alias("label"), "measure_id", "quality_score", "brightness")
-    joined = fragment_replicate_join(rows, table(spark, d, "sample_targets"), "label")
+    joined = fragment_replicate_join(rows, table(spark, d, "sample_targets"), "label", how)
     score = F.when(F.isnan("quality_score"), None).otherwise(F.col("quality_score"))
     return joined.groupBy("label").agg(
         F.count("*").alias("n_rows"), F.count_distinct("measure_id").alias("n_measures"), _exact_mean(score).alias("mean_score"),

@@ -166,3 +166,12 @@ def test_aggregate_and_heavy_keys(spark):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert {(r.key, r.load) for r in heavy_keys(df, "key", 0.01).collect()} == {("hot", 600), (None, 10)} | {(r.key, r["count"]) for r in df.where("key like 'k%'").groupBy("key").count().where("count >= 10").collect()}
     assert heavy_keys(df.limit(0), "key", 0.1).count() == 0
+
+
+def test_label_report_has_every_row(spark, sf):
+    import __spark_entry__ as entry
+
+    out = entry.queries()["p7_labels"](spark, sf).collect()
+    rows = spark.read.parquet(f"{sf}/quality_scores.parquet")
+    assert sum(r.n_rows for r in out) == rows.count()
+    assert sum(r.label is None for r in out) == 1 and any(r.label is not None and r.target_share is None for r in out)
