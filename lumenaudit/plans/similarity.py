@@ -160,12 +160,22 @@ def intra_class_diversity(spark: SparkSession, d: str) -> DataFrame:
     FROM {_E}, (SELECT unnest(range(1, 9)) AS i), (SELECT unnest(range(1, 9)) AS j) GROUP BY label, i, j
 """)
 def class_moments(spark: SparkSession, d: str) -> DataFrame:
+    """The first 8 dimensions, as the SQL has them; ``class_moments_all`` has all."""
     m = S.class_moments(_e(spark, d), "label")
     at = F.explode(F.sequence(F.lit(0), F.lit(7)))
     rows = m.select("class", "mean", "cov", at.alias("i")).select("*", at.alias("j"))
     return rows.select(F.col("class").cast("int").alias("class"), "i", "j", F.round(F.col("cov")[F.col("i") * 64 + F.col("j")], 6).alias("cov"), F.round(F.col("mean")[F.col("i")], 6).alias("mean"))
 
 
+@query()
+def class_moments_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every covariance and mean of each class; no covariance in classes of one row."""
+    m = S.class_moments(_e(spark, d), "label").withColumn("width", F.size("mean"))
+    rows = m.select("class", "mean", "cov", "width", F.posexplode("mean").alias("i", "m"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("j"))
+    return rows.select(F.col("class").cast("int").alias("class"), "i", "j", F.round(F.col("cov")[F.col("i") * F.col("width") + F.col("j")], 6).alias("cov"), F.round("m", 6).alias("mean"))
+
+
 @query()
 def class_overlap_frechet(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(S.class_overlap(_e(spark, d), "label"), "distance")

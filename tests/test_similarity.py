@@ -131,3 +131,21 @@ def test_projection(spark):
     assert M.reduce_embeddings(df, "tsne", most=20).count() == 20
     with pytest.raises(ValueError):
         M.reduce_embeddings(df, "umap")
+
+
+def test_class_moments_query_has_all_dimensions(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rng = np.random.default_rng(2)
+    x = {0: rng.normal(size=(9, 64)).astype(np.float32), 1: rng.normal(size=(5, 64)).astype(np.float32), 2: rng.normal(size=(1, 64)).astype(np.float32)}
+    rows = [(c * 100 + i, c, v.tolist()) for c, m in x.items() for i, v in enumerate(m)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    out = entry.queries()["class_moments_all"](spark, str(tmp_path)).toPandas()
+    assert len(out) == 3 * 64 * 64
+    for c, m in x.items():
+        mine = out[out["class"] == c].sort_values(["i", "j"])
+        assert np.allclose(mine["mean"].to_numpy().reshape(64, 64), np.repeat(m.astype(float).mean(0)[:, None], 64, 1), atol=2e-6)
+        if len(m) > 1:
+            assert np.allclose(mine["cov"].to_numpy().reshape(64, 64), np.cov(m.astype(float).T), atol=2e-6)
+        else:
+            assert mine["cov"].isna().all()
