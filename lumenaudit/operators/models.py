@@ -204,7 +204,8 @@ def pca_variance(vectors: DataFrame, most: int = 30, vec_col: str = "embedding")
 def tsne_points(x: np.ndarray, n: int = 2, perplexity: float = 30.0, rounds: int = 300, seed: int = 42) -> np.ndarray:
     """t-SNE of a small matrix; there is no distributed form, so callers sample first."""
     m = len(x)
-    sq = np.maximum(((x[:, None] - x[None]) ** 2).sum(-1), 0)
+    norms = (x * x).sum(1)
+    sq = np.maximum(norms[:, None] + norms[None] - 2 * (x @ x.T), 0)
     p = np.zeros((m, m))
     for i in range(m):
         low, high, beta = 0.0, np.inf, 1.0
@@ -231,15 +232,44 @@ def tsne_points(x: np.ndarray, n: int = 2, perplexity: float = 30.0, rounds: int
     return y
 
 
-def reduce_embeddings(vectors: DataFrame, method: str = "pca", n: int = 2, seed: int = 42, most: int = 1500, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """``vec_id, x1..xn`` by ``pca`` (all rows), or by ``tsne`` of at most ``most`` rows chosen by hash."""
+def reduce_embeddings(vectors: DataFrame, method: str = "pca", n: int = 2, seed: int = 42, most: int = 1500, id_col: str = "vec_id", vec_col: str = "embedding", whole: bool = False) -> DataFrame:
+    """``vec_id, x1..xn`` by ``pca`` (all rows), or by ``tsne`` of at most ``most`` rows chosen by hash.
+
+    ``whole``: t-SNE, too, gives all rows; one that is not in the fitted sample is placed
+    among its 5 exact nearest fitted rows (Euclidean; ties to the smaller id), weighted by
+    the inverse of the distance, or on the mean of those it equals.
+    """
     if method == "pca":
         return pca_projection(vectors, n, id_col, vec_col)
     if method != "tsne":
         raise ValueError(f"method={method!r}: pca or tsne (umap needs a package that is not present)")
-    rows = vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("vec_id"), as_double(vec_col).alias("v")).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("vec_id").cast("string")))).limit(most).collect()
+    src = vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), as_double(vec_col).alias("v"))
+    rows = src.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("vec_id").cast("string"))), "vec_id").limit(most).collect()
+    schema = ", ".join(["vec_id long", *[f"x{i + 1} double" for i in range(n)]])
     y = tsne_points(np.array([r["v"] for r in rows], float), n, seed=seed) if rows else np.zeros((0, n))
-    return vectors.sparkSession.createDataFrame([(r["vec_id"], *map(float, p)) for r, p in zip(rows, y)], ", ".join(["vec_id long", *[f"x{i + 1} double" for i in range(n)]]))
+    if not whole or not rows:
+        return vectors.sparkSession.createDataFrame([(r["vec_id"], *map(float, p)) for r, p in zip(rows, y)], schema)
+    by = np.argsort([r["vec_id"] for r in rows], kind="stable")
+    ids, x, y = np.array([r["vec_id"] for r in rows], np.int64)[by], np.array([r["v"] for r in rows], float)[by], y[by]
+
+    def place(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            own = b.column(0).to_numpy(zero_copy_only=False)
+            v = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, x.shape[1])
+            out = np.zeros((len(own), n))
+            for at in range(0, len(own), 1024):
+                d = np.round(-_scores(v[at : at + 1024], x, "euclidean"), 9)
+                near = np.argsort(d, 1, kind="stable")[:, :5]
+                d = np.take_along_axis(d, near, 1)
+                w = np.where((d == 0).any(1, keepdims=True), d == 0, 1 / np.where(d > 0, d, 1))
+                out[at : at + 1024] = (y[near] * w[:, :, None]).sum(1) / w.sum(1)[:, None]
+            # fitted rows keep their own place
+            k = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
+            fitted = ids[k] == own
+            out[fitted] = y[k[fitted]]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), *[pa.array(c) for c in out.T]], names=["vec_id", *[f"x{i + 1}" for i in range(n)]])
+
+    return spread(src).mapInArrow(place, schema)
 
 
 def knn_graph_points(points: DataFrame, edges: DataFrame) -> DataFrame:

@@ -280,7 +280,7 @@ def pca_variance(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def tsne_projection(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(M.reduce_embeddings(_e(spark, d), "tsne", most=300), "x1", "x2")
+    return _rounded(M.reduce_embeddings(_e(spark, d), "tsne", whole=True), "x1", "x2")
 
 
 @query()

@@ -149,3 +149,24 @@ def test_class_moments_query_has_all_dimensions(spark, tmp_path):
             assert np.allclose(mine["cov"].to_numpy().reshape(64, 64), np.cov(m.astype(float).T), atol=2e-6)
         else:
             assert mine["cov"].isna().all()
+
+
+def test_tsne_places_every_row(spark):
+    rng = np.random.default_rng(6)
+    group = np.arange(120) % 2
+    x = rng.normal(size=(120, 8)) * 0.1 + group[:, None] * 5
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(999, None)], "vec_id long, embedding array<double>")
+    out = {r.vec_id: (r.x1, r.x2) for r in M.reduce_embeddings(df, "tsne", most=60, whole=True).collect()}
+    assert set(out) == set(range(120))
+    p = np.array([out[i] for i in range(120)])
+    d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    assert np.isfinite(p).all() and (group[d.argmin(1)] == group).all()
+
+
+def test_tsne_query_projects_the_whole_table(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    x = np.random.default_rng(7).normal(size=(310, 4))
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert entry.queries()["tsne_projection"](spark, str(tmp_path)).count() == 310
