@@ -26,7 +26,7 @@ def real_classes(df: DataFrame, label: str) -> DataFrame:
     return df.where(F.col(label).isNotNull() & (F.lower(F.col(label).cast("string")) != REAL))
 
 
-def kmeans_clusters(vectors: DataFrame, k: int, seed: int = 42, restarts: int = 3, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def kmeans_clusters(vectors: DataFrame, k: int, seed: int = 42, restarts: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``vec_id, cluster_id`` of the best of several k-means fits. ``k`` must be at least 2 and below the number of rows."""
     rows = vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("vec_id"), array_to_vector(as_double(vec_col)).alias("features")).persist()
     try:

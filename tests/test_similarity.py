@@ -170,3 +170,11 @@ def test_tsne_query_projects_the_whole_table(spark, tmp_path):
     x = np.random.default_rng(7).normal(size=(310, 4))
     spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
     assert entry.queries()["tsne_projection"](spark, str(tmp_path)).count() == 310
+
+
+def test_kmeans_keeps_the_best_of_ten_fits(spark, monkeypatch):
+    seeds = []
+    real = M.KMeans
+    monkeypatch.setattr(M, "KMeans", lambda k, seed: seeds.append(seed) or real(k=k, seed=seed))
+    df = spark.createDataFrame([(i, [float(i % 3 * 9), float(i)]) for i in range(12)], "vec_id long, embedding array<double>")
+    assert M.kmeans_clusters(df, 3).count() == 12 and len(set(seeds)) == 10
