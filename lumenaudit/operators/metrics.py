@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenaudit.operators.order_statistics import percentiles_of
+
 
 def _all():  # noqa: ANN202
     """All rows; only used over tables of one row per class, group or tier."""
@@ -57,11 +59,14 @@ def dataset_summary(df: DataFrame, label: str, width: str, height: str, corrupt:
     def size(c: str) -> Column:
         return F.when(F.col(c) > 0, F.col(c))
 
-    return df.agg(
+    counts = df.agg(
         F.count("*").alias("total"), F.count(label).alias("labeled"), F.count_if(F.col(label).isNull()).alias("unlabeled"), F.count_distinct(label).alias("n_classes"),
-        F.count_if(F.col(corrupt)).alias("corrupt"), F.avg(size(width)).alias("mean_width"), F.median(size(width)).alias("median_width"),
-        F.avg(size(height)).alias("mean_height"), F.median(size(height)).alias("median_height"),
+        F.count_if(F.col(corrupt)).alias("corrupt"), F.avg(size(width)).alias("mean_width"), F.avg(size(height)).alias("mean_height"),
     )
+    # both medians in one sort: a group for widths, one for heights
+    sides = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("side"), size(c).cast("double").alias("v")) for i, c in enumerate((width, height))])).alias("s")).select("s.side", "s.v")
+    middle = percentiles_of(sides, ["side"], "v", [0.5]).agg(*[F.max(F.when(F.col("side") == i, F.col("p0"))).alias(f"median_{c}") for i, c in enumerate(("width", "height"))])
+    return counts.crossJoin(F.broadcast(middle)).select("total", "labeled", "unlabeled", "n_classes", "corrupt", "mean_width", "median_width", "mean_height", "median_height")
 
 
 def resolution_summary(df: DataFrame, width: str, height: str) -> DataFrame:
@@ -91,8 +96,11 @@ def value_histogram(df: DataFrame, value: str, bins: int = 30) -> DataFrame:
 
 def group_quantiles(df: DataFrame, group: str, value: str, fractions: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
     """Per group ``n, mean`` and exact quantiles ``q25`` and so on."""
-    q = [F.percentile(value, f).alias(f"q{round(f * 100)}") for f in fractions]
-    return df.where(F.col(group).isNotNull() & F.col(value).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), *q)
+    rows = df.where(F.col(group).isNotNull() & F.col(value).isNotNull()).select(F.col(group).alias("_g"), F.col(value).alias("_v"))
+    means = rows.groupBy("_g").agg(F.count("*").alias("n"), F.avg("_v").alias("mean"))
+    # one row per group on both sides
+    q = percentiles_of(rows, ["_g"], "_v", fractions)
+    return means.join(q, "_g", "left").select(F.col("_g").alias(group), "n", "mean", *[F.col(f"p{i}").alias(f"q{round(f * 100)}") for i, f in enumerate(fractions)])
 
 
 def label_gallery(df: DataFrame, label: str, item: str, per_label: int = 8, labels: int = 6) -> DataFrame:
@@ -142,13 +150,13 @@ def zscores(df: DataFrame, columns: Sequence[str], sample: bool) -> DataFrame:
     """Adds ``z_<column>``: global z-scores, 0 where the spread is 0 or unknown or the value is null.
 
     ``sample``: divide by the sample (n-1) instead of the population deviation. Mean and
-    deviation are aggregated once and sent back as one row, so no global window is needed.
+    deviation are aggregated once, two numbers a column, so no global window is needed and
+    every later pass over the rows sees the same scores.
     """
     dev = F.stddev_samp if sample else F.stddev_pop
-    stats = df.agg(*[F.avg(c).alias(f"_m{i}") for i, c in enumerate(columns)], *[dev(c).alias(f"_s{i}") for i, c in enumerate(columns)])
-    out = df.crossJoin(F.broadcast(stats))
-    z = {f"z_{c}": F.coalesce((F.col(c) - F.col(f"_m{i}")) / F.nullif(F.col(f"_s{i}"), F.lit(0.0)), F.lit(0.0)) for i, c in enumerate(columns)}
-    return out.withColumns(z).drop(*[f"_{k}{i}" for i in range(len(columns)) for k in "ms"])
+    stats = df.agg(*[F.avg(c).alias(f"_m{i}") for i, c in enumerate(columns)], *[dev(c).alias(f"_s{i}") for i, c in enumerate(columns)]).first()
+    known = lambda x: F.lit(None if x is None else float(x)).cast("double")
+    return df.withColumns({f"z_{c}": F.coalesce((F.col(c) - known(stats[f"_m{i}"])) / F.nullif(known(stats[f"_s{i}"]), F.lit(0.0)), F.lit(0.0)) for i, c in enumerate(columns)})
 
 
 PROPERTIES = ("blur", "resolution", "contrast", "noise", "compression", "brightness", "saturation")
@@ -168,7 +176,7 @@ def quality_tiers(df: DataFrame, names: Sequence[str] = ("Low", "Medium", "High"
     score = plus - F.col("z_noise") - F.col("z_compression") - F.abs("z_brightness") - F.abs("z_saturation")
     scored = z.withColumn("quality_score", score).drop(*[f"z_{c}" for c in PROPERTIES])
     n = len(names)
-    edges = scored.agg(F.percentile("quality_score", F.array(*[F.lit(i / n) for i in range(n + 1)])).alias("_q"))
+    edges = percentiles_of(scored, [], "quality_score", [i / n for i in range(n + 1)]).select(F.array(*[f"p{i}" for i in range(n + 1)]).alias("_q"))
     same = reduce(lambda a, b: a | b, [F.col("_q")[i] == F.col("_q")[i + 1] for i in range(n)])
     tier = F.lit(names[-1])
     for i in range(n - 2, -1, -1):

@@ -17,9 +17,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenaudit.functions.groups import similar_groups
-from lumenaudit.functions.runtime import spread
+from lumenaudit.functions.runtime import cut, spread
 from lumenaudit.functions.vectors import as_double, euclidean, norm
 from lumenaudit.operators.components import connected_components
+from lumenaudit.operators.order_statistics import percentiles_of
 
 #: Rows of a chunk at most. Every row is sent to as many tasks as there are chunks.
 CHUNK_ROWS = 16384
@@ -261,7 +262,9 @@ def knn_outlier_scores(vectors: DataFrame, k: int = 5, id_col: str = "vec_id", v
 
 def flag_outliers(scores: DataFrame, fraction: float = 0.95) -> DataFrame:
     """Adds ``status``: ``Outlier`` from the exact quantile of the scores on, else ``Normal``."""
-    cut_at = scores.agg(F.percentile("score", fraction).alias("_q"))
+    # written once: the scores are read by the sort and again by the comparison
+    scores = cut(scores, "scores")
+    cut_at = percentiles_of(scores, [], "score", [fraction]).select(F.col("p0").alias("_q"))
     return scores.crossJoin(F.broadcast(cut_at)).withColumn("status", F.when(F.col("score") >= F.col("_q"), "Outlier").otherwise("Normal")).drop("_q")
 
 

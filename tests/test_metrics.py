@@ -175,3 +175,12 @@ def test_label_report_has_every_row(spark, sf):
     rows = spark.read.parquet(f"{sf}/quality_scores.parquet")
     assert sum(r.n_rows for r in out) == rows.count()
     assert sum(r.label is None for r in out) == 1 and any(r.label is not None and r.target_share is None for r in out)
+
+
+def test_no_aggregate_gathers_a_column(spark):
+    rows = spark.createDataFrame([("a" if i % 3 else "b", float(i * 7 % 50)) for i in range(200)] + [(None, 1.0), ("a", None)], "g string, v double")
+    out = M.group_quantiles(rows, "g", "v")
+    assert "percentile(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    want = {r.g: (r.n, r.a, r.b) for r in rows.where("g is not null and v is not null").groupBy("g").agg(F.count("*").alias("n"), F.percentile("v", 0.25).alias("a"), F.percentile("v", 0.75).alias("b")).collect()}
+    assert {r.g: (r.n, r.q25, r.q75) for r in out.collect()} == want
+    assert M.group_quantiles(rows.limit(0), "g", "v").count() == 0
