@@ -2,33 +2,26 @@
 
 A state is the exact table ``group, value, n``: partial counts are summed before the
 shuffle, states of other days or files are combined by adding their counts. Percentiles
-come from a full distributed sort of the state by group and value: every sorted partition
-counts its rows per group, running sums over the partitions give each group's offsets,
-the wanted positions are located by offset, and the neighbouring order statistics are
-interpolated. The error is zero. A hot group spans many partitions, a value that a third
-of all rows repeat is one row of the state.
+come from a full distributed sort of the state by group and value with per-partition
+counts, offsets of each group and interpolation of neighbouring order statistics (the
+core's ``order_statistics``, which the quality operators share). The error is zero. A hot
+group spans many partitions, a value that a third of all rows repeat is one row of the
+state.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenaudit.functions.runtime import cut, parallelism
+from lumenaudit.operators.order_statistics import counted_percentiles, value_counts
 
 
 def percentile_state(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     """``*group, value, n``: how often each value occurs. Null and NaN values are left out; null group values are groups. Group columns must not be named like the state's own."""
-    if {"value", "n"} & set(group):
-        raise ValueError("group columns cannot be named value or n")
-    v = F.col(value).cast("double")
-    # -0.0 and 0.0 are one value
-    return df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*group, (v + F.lit(0.0)).alias("value")).agg(F.count("*").alias("n"))
+    return value_counts(df, group, value)
 
 
 def combine_states(first: DataFrame, *more: DataFrame) -> DataFrame:
@@ -47,56 +40,9 @@ def regroup_state(state: DataFrame, group: Sequence[str]) -> DataFrame:
 def percentiles(state: DataFrame, fractions: Sequence[float], partitions: int | None = None) -> DataFrame:
     """``*group, n_values, fraction, percentile``: linearly interpolated, one row per group and fraction.
 
-    Position ``fraction * (n - 1)`` counted from 0, between its neighbours in proportion.
     Groups without values are absent; an empty state gives an empty result; infinite
-    values take their place in the order.
+    values take their place in the order; null group values are groups of their own, also
+    where several columns hold nulls. ``partitions``: of the sort, by default as many as
+    the state's rows need.
     """
-    group = [c for c in state.columns if c not in ("value", "n")]
-    bad = [f for f in fractions if not 0 <= f <= 1]
-    if bad:
-        raise ValueError(f"fractions must lie in 0..1: {bad}")
-    kinds = ", ".join(f"`{c}` {t}" for c, t in state.select(*group).dtypes)
-    parts = partitions or parallelism(state.sparkSession)
-    tagged = state.select(*group, "value", "n", F.xxhash64(*group, F.lit(0)).alias("_g"))
-    ordered = tagged.repartitionByRange(parts, *group, "value").sortWithinPartitions(*group, "value")
-
-    def running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Adds to each row the count of its group up to it within this partition."""
-        part = TaskContext.get().partitionId()
-        last, had = None, 0
-        for b in batches:
-            if not b.num_rows:
-                continue
-            g, n = b.column(b.num_columns - 1).to_numpy(), b.column(b.num_columns - 2).to_numpy()
-            start = np.r_[True, g[1:] != g[:-1]]
-            total = np.cumsum(n)
-            base = np.where(start, total - n, 0)
-            upto = total - np.maximum.accumulate(base)
-            if g[0] == last:
-                upto[: np.flatnonzero(start)[1] if start.sum() > 1 else len(g)] += had
-            last, had = g[-1], int(upto[-1])
-            cols = [b.column(i) for i in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.full(len(g), part, np.int32)), pa.array(upto)], names=[*b.schema.names[:-1], "_part", "_upto"])
-
-    # written once: the borders of a range sort must not be drawn twice
-    kept = cut(ordered.mapInArrow(running, f"{kinds + ', ' if kinds else ''}value double, n long, _part int, _upto long"), "sorted")
-    counts = kept.groupBy(*group, "_part").agg(F.max("_upto").alias("_c"))
-    key = group or [F.lit(1)]
-    before = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*group, "_part", F.coalesce(F.sum("_c").over(before), F.lit(0).cast("long")).alias("_off"), F.sum("_c").over(Window.partitionBy(*key)).alias("_n"))
-    left, right = kept.alias("l"), offsets.alias("r")
-    same = F.col("l._part") == F.col("r._part")
-    for c in group:
-        same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
-    rows = left.join(right, same).select(*[F.col(f"l.{c}").alias(c) for c in group], "value", "_n", (F.col("_off") + F.col("_upto") - F.col("n")).alias("_lo"), (F.col("_off") + F.col("_upto")).alias("_hi"))
-    wanted = F.array(*[F.struct(F.lit(float(f)).alias("f"), (F.lit(float(f)) * (F.col("_n") - 1)).alias("at")) for f in fractions])
-    # order statistic number i is here when _lo <= i < _hi
-    here = lambda i: (F.col("_lo") <= i) & (i < F.col("_hi"))
-    hits = F.filter(wanted, lambda w: here(F.floor(w["at"])) | here(F.ceil(w["at"])))
-    found = rows.withColumn("w", F.explode(hits))
-    low = F.max(F.when(here(F.floor("w.at")), F.col("value")))
-    high = F.max(F.when(here(F.ceil("w.at")), F.col("value")))
-    out = found.groupBy(*group, F.col("w.f").alias("fraction")).agg(F.first("_n").alias("n_values"), F.first("w.at").alias("_at"), low.alias("_low"), high.alias("_high"))
-    step = F.col("_at") - F.floor("_at")
-    value = F.when((step == 0) | (F.col("_low") == F.col("_high")), F.col("_low")).otherwise(F.col("_low") + (F.col("_high") - F.col("_low")) * step)
-    return out.select(*group, "n_values", "fraction", value.alias("percentile"))
+    return counted_percentiles(state, fractions, partitions)

@@ -104,6 +104,16 @@ def test_states_of_days_combine(spark):
         percentiles(whole, [1.5])
 
 
+def test_null_groups_stay_apart(spark):
+    rows = [(None, "a", float(i)) for i in range(5)] + [("a", None, 10.0 + i) for i in range(5)] + [(None, None, 99.0), ("a", "a", 7.0)]
+    df = spark.createDataFrame(rows, "g string, h string, x double").coalesce(1)
+    got = {(r.g, r.h, r.fraction): (r.n_values, r.percentile) for r in percentiles(percentile_state(df, ["g", "h"], "x"), [0.0, 0.5], partitions=1).collect()}
+    assert got == {
+        (None, "a", 0.0): (5, 0.0), (None, "a", 0.5): (5, 2.0), ("a", None, 0.0): (5, 10.0), ("a", None, 0.5): (5, 12.0),
+        (None, None, 0.0): (1, 99.0), (None, None, 0.5): (1, 99.0), ("a", "a", 0.0): (1, 7.0), ("a", "a", 0.5): (1, 7.0),
+    }
+
+
 # -- quotas -----------------------------------------------------------------------------
 
 
