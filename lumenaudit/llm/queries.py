@@ -110,13 +110,13 @@ def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Members of the clusters of five or more records."""
-    return cluster_vectors(table(spark, d, "vectors"), min_similarity=SIMILAR, min_size=5)
+    return cluster_vectors(table(spark, d, "vectors"), min_similarity=SIMILAR, min_points=5, min_size=5).select("cluster_id", "vec_id")
 
 
 def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Clusters with size, medoids and label make-up."""
     vectors = table(spark, d, "vectors")
-    return describe_clusters(vectors, cluster_vectors(vectors, min_similarity=SIMILAR, min_size=5))
+    return describe_clusters(vectors, cluster_vectors(vectors, min_similarity=SIMILAR, min_points=5, min_size=5))
 
 
 #: Fixed value: consecutive words in common from which on an item counts as leaked.

@@ -166,6 +166,53 @@ def test_cluster_core_points(spark):
     assert one == 1 and {(r.cluster_id, r.vec_id) for r in dense.collect()} == {(0, i) for i in range(4)} | {(4, i) for i in range(4, 8)}
 
 
+def brute_dbscan(u, least, min_points):
+    """{row: (root, core)} by definition; root is the cluster's smallest core."""
+    hit = np.round(u @ u.T, 6) >= least
+    core = hit.sum(1) >= min_points
+    root = np.where(core, np.arange(len(u)), len(u))
+    for _ in range(len(u)):
+        new = np.array([root[hit[i] & core].min() if core[i] else len(u) for i in range(len(u))])
+        if (new == root).all():
+            break
+        root = new
+    for i in np.flatnonzero(~core):
+        near = hit[i] & core
+        root[i] = root[near].min() if near.any() else len(u)
+    return {i: (int(root[i]), bool(core[i])) for i in range(len(u)) if root[i] < len(u)}
+
+
+@pytest.mark.parametrize("min_points", [2, 5])
+def test_clusters_are_those_of_the_definition(spark, min_points):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(400, 4))
+    u = unit(x.astype(np.float32))
+    want = brute_dbscan(u, 0.95, min_points)
+    name = {}
+    for i, (root, _) in want.items():
+        name[root] = min(name.get(root, i), i)
+    assert len(name) > 5 and (min_points == 2 or any(not c for _, c in want.values()))
+    df = table(spark, [(i, "x", v) for i, v in enumerate(x)])
+    for how in ({"exact": True, "chunk_rows": 1_000_000}, {"exact": True, "chunk_rows": 60}, {"exact": True, "chunk_rows": 20}, {"margin": 2.0, "max_cells": 99, "rows_per_cell": 100, "chunk_rows": 90}):
+        got = cluster_vectors(df, dim=4, min_similarity=0.95, min_points=min_points, min_size=1, **how).collect()
+        assert {r.vec_id: (r.cluster_id, r.is_core) for r in got} == {i: (name[root], c) for i, (root, c) in want.items()}
+
+
+def test_two_steps_of_division():
+    from lumenaudit.llm.density import Pivots
+
+    rng = np.random.default_rng(5)
+    centers = unit(rng.normal(size=(500, 32)).astype(np.float32))
+    u = unit((centers[rng.integers(0, 500, 4000)] + 0.06 * rng.normal(size=(4000, 32))).astype(np.float32))
+    p = Pivots(u, 24, 1000, 0.5)
+    assert p.cells is not None and 500 < p.first[-1] <= 1100
+    cells = p.place(u, 0.3, 6)
+    assert (cells[:, 0] >= 0).all() and np.bincount(cells[:, 0]).max() < 200
+    hit = np.argwhere(np.triu(u @ u.T >= 0.72, 1))
+    met = [bool(set(cells[a][cells[a] >= 0]) & set(cells[b])) for a, b in hit[:20000]]
+    assert np.mean(met) > 0.995
+
+
 def test_cluster_description(spark):
     rows = clustered(sizes=(6, 5))
     rows[0] = (0, "None", rows[0][2])
