@@ -2,8 +2,10 @@
 
 Names: a record is the set of tokens of its file name. The record by token incidence
 matrix is multiplied with its transpose in blocks, one block for each rare token that two
-agreeing sets must share (the size-derived prefix); the products are overlap counts, and
-pairs whose sizes or counts stay below the bound are dropped. Vectors are dense and have
+agreeing sets must share (the size-derived prefix). A block's rows are ordered by size, so
+that the columns whose sizes allow a link are a range; the sparse product of a run of rows
+accumulates overlap counts, and pairs below the bound are dropped. Runs, blocks and tasks
+have bounded bytes, whatever the table's size. Vectors are dense and have
 no rare part that two similar ones must share: they are dealt to chunks, and the product
 of every two chunks keeps pairs above the similarity bound, so none is lost. Both kinds of
 links are reduced to groups inside their block, so a block of many copies sends one row
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from lumenaudit.functions.groups import Groups, linked_groups
 from lumenaudit.functions.runtime import cut, parallelism
 from lumenaudit.functions.vectors import list_matrix, pack, unpack
-from lumenaudit.llm.cells import PLACED, by_cell, chunk_of, placed
+from lumenaudit.llm.cells import PLACED, TASK_BYTES, by_cell, chunk_of, placed
 from lumenaudit.operators.components import connected_components
 
 
@@ -55,39 +57,34 @@ def set_links(sets: DataFrame, id_col: str, tokens_col: str, jaccard: float, chu
     prefix = ranked.select("head", hashes.alias("h"), F.explode(F.slice("o", 1, keep.cast("int"))).alias("p")).where("p.df > 1")
     m = F.ceil(F.col("p.df") / chunk_rows).cast("int")
     own = F.pmod(F.xxhash64("head"), m).cast("int")
-    blocks = max(parallelism(spark), 1)
+    # a set travels with at most all of its tokens to as many blocks: an upper bound of the bytes, from the rows as they stand
+    room = rows.agg(F.sum(F.size("t") * (8 * F.size("t") + 48))).first()[0] or 0
+    blocks = max(parallelism(spark), -(-room // TASK_BYTES))
     cross = prefix.select("head", "h", F.xxhash64("p.token").alias("token"), own.alias("own"), F.explode(F.sequence(F.lit(0), m - 1)).alias("other"), m.alias("m"))
     keyed = cross.select(
-        "head", "h", "token", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"),
+        "head", "h", "token", "own", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"),
         F.when(F.col("m") == 1, F.pmod(F.col("token"), F.lit(blocks))).otherwise(F.col("token")).alias("block"),
     )
 
     def product(key: tuple, group: pa.Table) -> pa.Table:
+        _, one, two = (x.as_py() for x in key)
         ids = group.column("head").to_numpy()
-        token = group.column("token").to_numpy()
+        token, own = group.column("token").to_numpy(), group.column("own").to_numpy()
         lists = group.column("h").combine_chunks()
         lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
         uniq, first, inv = np.unique(ids, return_index=True, return_inverse=True)
-        mine = lists.take(pa.array(first))
-        size = mine.value_lengths().to_numpy().astype(np.int64)
-        flat = mine.flatten().to_numpy()
-        start = np.r_[0, np.cumsum(size)]
+        incidence = Incidence(lists.take(pa.array(first)))
         groups = Groups(len(uniq))
         by = np.argsort(token, kind="stable")
         edges = np.flatnonzero(np.r_[True, token[by][1:] != token[by][:-1], True])
-        post = inv[by]
-        for left, right in _slices(edges, 1 << 21):
-            a, b = _pairs(post, left, right)
-            far = groups.label[a] != groups.label[b]
-            a, b = a[far], b[far]
-            small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
-            fit = small >= jaccard * large - 1e-9
-            a, b, total = a[fit], b[fit], (small + large)[fit]
-            for at in range(0, len(a), 1 << 17):
-                x, y, t = a[at : at + (1 << 17)], b[at : at + (1 << 17)], total[at : at + (1 << 17)]
-                both = _overlap(flat, start, size, x, y)
-                ok = both >= jaccard * (t - both) - 1e-9
-                groups.join(x[ok], y[ok])
+        if one == two:
+            incidence.join_small(groups, inv[by], edges, jaccard)
+        for left, right in zip(edges[:-1], edges[1:]):
+            at = by[left:right]
+            if one != two:
+                incidence.join(groups, inv[at[own[at] == one]], inv[at[own[at] == two]], jaccard)
+            elif right - left > SMALL:
+                incidence.join(groups, inv[at], None, jaccard)
         label = groups.label
         on = label != np.arange(len(uniq))
         return pa.table({"src": uniq[on], "dst": uniq[label[on]]})
@@ -96,45 +93,82 @@ def set_links(sets: DataFrame, id_col: str, tokens_col: str, jaccard: float, chu
     return same.unionByName(near)
 
 
-def _slices(edges: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Posting lists (left, right bounds) in runs whose pairs number about ``most``."""
-    left, right = edges[:-1], edges[1:]
-    n = right - left
-    multi = n > 1
-    left, right, n = left[multi], right[multi], n[multi]
-    run = (np.cumsum(n * (n - 1) // 2) // most).astype(np.int64)
-    for r in np.unique(run):
-        yield left[run == r], right[run == r]
-
-
-def _pairs(post: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    n = right - left
-    for k in np.unique(n):
-        i, j = np.triu_indices(int(k), 1)
-        at = left[n == k][:, None]
-        a.append(post[at + i].ravel()), b.append(post[at + j].ravel())
-    return np.concatenate(a), np.concatenate(b)
-
-
-def _overlap(flat: np.ndarray, start: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Accumulated overlap counts of pairs of rows of the incidence matrix."""
-    if not len(a):
-        return np.zeros(0, np.int64)
-    total = np.zeros(len(a), np.int64)
-    # each token of the first row is looked up in the second row's sorted tokens
-    for k in range(int(size[a].max())):
-        live = np.flatnonzero(size[a] > k)
-        want = flat[start[a[live]] + k]
-        low, high = start[b[live]].copy(), start[b[live] + 1].copy()
-        end = high.copy()
-        while (open_ := low < high).any():
-            mid = (low + high) // 2
-            less = open_ & (flat[np.minimum(mid, len(flat) - 1)] < want)
-            low = np.where(less, mid + 1, low)
-            high = np.where(open_ & ~less, mid, high)
-        total[live] += (low < end) & (flat[np.minimum(low, len(flat) - 1)] == want)
-    return total
+#: Rows up to which the blocks of several tokens are multiplied together.
+SMALL = 32
+#: Products of two entries that are accumulated at a time.
+STEP = 1 << 21
+
+
+class Incidence:
+    """The sets of one task as a sparse matrix of rows by tokens."""
+
+    def __init__(self, lists: pa.ListArray) -> None:
+        self.size = lists.value_lengths().to_numpy().astype(np.int64)
+        self.start = np.r_[0, np.cumsum(self.size)]
+        _, self.token = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+
+    def entries(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position in ``rows``, token) of every entry of these rows."""
+        n = self.size[rows]
+        at = np.repeat(np.arange(len(rows)), n)
+        return at, self.token[np.repeat(self.start[rows] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
+
+    def join_small(self, groups: Groups, post: np.ndarray, edges: np.ndarray, jaccard: float) -> None:
+        """The blocks of all tokens that up to ``SMALL`` rows hold, many blocks at a time."""
+        count = np.diff(edges)
+        some = np.flatnonzero((count > 1) & (count <= SMALL))
+        run = np.cumsum(count[some] * SMALL) // (STEP // 4)
+        for r in np.unique(run):
+            own = some[run == r]
+            rows = np.concatenate([post[edges[b] : edges[b + 1]] for b in own])
+            block = np.repeat(np.arange(len(own)), count[own])
+            at, token = self.entries(rows)
+            order = np.lexsort((at, token, block[at]))
+            at, token = at[order], token[order]
+            # entries of one token in one block stand together: a product for each two of them
+            pairs = [np.zeros(0, np.int64)]
+            for d in range(1, SMALL):
+                hit = np.flatnonzero((token[d:] == token[:-d]) & (block[at[d:]] == block[at[:-d]]))
+                if not len(hit):
+                    break
+                pairs.append(at[hit] * len(rows) + at[hit + d])
+            code, both = np.unique(np.concatenate(pairs), return_counts=True)
+            a, b = rows[code // len(rows)], rows[code % len(rows)]
+            ok = both >= jaccard * (self.size[a] + self.size[b] - both) - 1e-9
+            groups.join(a[ok], b[ok])
+
+    def join(self, groups: Groups, left: np.ndarray, right: np.ndarray | None, jaccard: float) -> None:
+        """One block: every two of ``left`` (``right``: each of it with each of ``right``), a run of rows at a time."""
+        left = np.unique(left)
+        right = left if right is None else np.unique(right)
+        left, right = left[np.argsort(self.size[left], kind="stable")], right[np.argsort(self.size[right], kind="stable")]
+        if not len(left) or not len(right):
+            return
+        at, token = self.entries(right)
+        order = np.argsort(token, kind="stable")
+        posted = at[order]
+        first = np.r_[0, np.cumsum(np.bincount(token, minlength=int(self.token.max()) + 1))]
+        done = 0
+        while done < len(left):
+            # as many rows as keep counts and products small
+            rows = left[done : done + max(1, STEP // len(right))]
+            r, t = self.entries(rows)
+            n = first[t + 1] - first[t]
+            upto = np.searchsorted(np.cumsum(np.bincount(r, n, len(rows))), STEP, "right")
+            rows = rows[: max(1, upto)]
+            done += len(rows)
+            label = groups.label[rows[0]]
+            if (groups.label[rows] == label).all() and (groups.label[right] == label).all():
+                continue
+            n, t, r = n[r < len(rows)], t[r < len(rows)], r[r < len(rows)]
+            column = posted[np.repeat(first[t] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
+            low, high = np.searchsorted(self.size[right], [np.ceil(jaccard * self.size[rows[0]] - 1e-9), np.floor(self.size[rows[-1]] / jaccard + 1e-9) + 1])
+            fit = (column >= low) & (column < high)
+            wide = max(1, int(high - low))
+            both = np.bincount(np.repeat(r, n)[fit] * wide + column[fit] - low, minlength=len(rows) * wide).reshape(len(rows), wide)
+            total = self.size[rows][:, None] + self.size[right[low:high]][None, :] if high > low else np.full(both.shape, 9e9)
+            a, b = np.nonzero((both > 0) & (both >= jaccard * (total - both) - 1e-9))
+            groups.join(rows[a], right[low + b])
 
 
 def vector_links(vectors: DataFrame, id_col: str, vec_col: str, dim: int, above: float, chunk_rows: int = 40_960, sizes_from: DataFrame | None = None) -> DataFrame:
@@ -194,8 +228,15 @@ def near_duplicate_groups(
     return joined.join(sizes, "root").select(F.col("node").alias("vec_id"), F.col("root").alias("group_id"), "size")
 
 
-def pairs_of_groups(groups: DataFrame) -> DataFrame:
-    """``vec_id_a, vec_id_b``: every two members of a group, for reports that want pairs."""
-    kept = cut(groups.select("group_id", "vec_id"), "groups")
-    a, b = kept.withColumnRenamed("vec_id", "vec_id_a"), kept.withColumnRenamed("vec_id", "vec_id_b")
-    return a.join(b, "group_id").where("vec_id_a < vec_id_b").select("vec_id_a", "vec_id_b")
+def pairs_of_groups(groups: DataFrame, chunk_rows: int = 4096) -> DataFrame:
+    """``vec_id_a, vec_id_b``: every two members of a group, for reports that want pairs.
+
+    A group of more than ``chunk_rows`` is dealt to chunks, and each pair of chunks is joined
+    apart, so no task lists the pairs of a large group.
+    """
+    m = F.ceil(F.col("size") / chunk_rows).cast("int")
+    kept = cut(groups.select("group_id", "vec_id", m.alias("m"), F.pmod(F.xxhash64("vec_id"), m).cast("int").alias("own")), "groups")
+    every = F.explode(F.sequence(F.lit(0), F.col("m") - 1))
+    a = kept.select("group_id", F.col("vec_id").alias("vec_id_a"), F.col("own").alias("one"), every.alias("two"))
+    b = kept.select("group_id", F.col("vec_id").alias("vec_id_b"), every.alias("one"), F.col("own").alias("two"))
+    return a.join(b, ["group_id", "one", "two"]).where("vec_id_a < vec_id_b").select("vec_id_a", "vec_id_b")

@@ -2,13 +2,15 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lumenaudit.llm.flow import Network
-from lumenaudit.llm.near_duplicates import name_tokens, near_duplicate_groups, pairs_of_groups, set_links
+from lumenaudit.functions.groups import Groups
+from lumenaudit.llm.near_duplicates import Incidence, name_tokens, near_duplicate_groups, pairs_of_groups, set_links
 from lumenaudit.llm.percentiles import combine_states, percentile_state, percentiles, regroup_state
 from lumenaudit.llm.quota_sample import cell_quotas, sample_by_targets
 from lumenaudit.operators.components import connected_components
@@ -53,6 +55,40 @@ def test_set_links_join_what_brute_force_joins(spark, chunk):
     assert all(comp.get(i, i) == want[i] for i in range(len(sets)))
 
 
+def test_products_of_incidence():
+    rng = np.random.default_rng(0)
+    for _ in range(5):
+        sets = []
+        for _ in range(30):
+            base = set(rng.integers(0, 50, int(rng.integers(3, 9))).tolist())
+            sets.append(base)
+            for _ in range(int(rng.integers(0, 4))):
+                sets.append((base - {int(rng.choice(list(base)))}) | {int(rng.integers(50))})
+        inc = Incidence(pa.array([sorted(x) for x in sets], pa.list_(pa.int64())))
+        n = len(sets)
+        near = lambda pairs: joined(n, [(i, j) for i, j in pairs if i != j and len(sets[i] & sets[j]) >= 0.75 * len(sets[i] | sets[j])])
+        whole, halves, small = Groups(n), Groups(n), Groups(n)
+        inc.join(whole, np.arange(n), None, 0.75)
+        inc.join(halves, np.arange(0, n, 2), np.arange(1, n, 2), 0.75)
+        post = [rng.choice(n, int(k), replace=False) for k in rng.integers(1, 20, 6)]
+        inc.join_small(small, np.concatenate(post), np.r_[0, np.cumsum([len(p) for p in post])], 0.75)
+        assert whole.label.tolist() == near(combinations(range(n), 2))
+        assert halves.label.tolist() == near([(i, j) for i in range(0, n, 2) for j in range(1, n, 2)])
+        assert small.label.tolist() == near([x for p in post for x in combinations(p.tolist(), 2)])
+
+
+def test_a_hot_token_stays_small():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    rows = 6000
+    lists = np.concatenate([np.zeros((rows, 1), np.int64), rng.integers(10, 900, (rows, 6)).cumsum(1)], 1)
+    inc = Incidence(pa.array(lists.tolist(), pa.list_(pa.int64())))
+    tracemalloc.start()
+    inc.join(Groups(rows), np.arange(rows), None, 0.75)
+    assert tracemalloc.get_traced_memory()[1] < 400 << 20
+
+
 def test_groups_by_both_links(spark):
     rec = "vec_id long, path string, label string, embedding string, group_id int"
     names = ["/a/cat one two three four.jpg", "/b/CAT-one-two-three-four.png", "/c/x1.jpg", "/c/x2.jpg", None, "/d/.jpg", "/e/alone.jpg"]
@@ -61,7 +97,9 @@ def test_groups_by_both_links(spark):
     vectors = spark.createDataFrame([(i, [float(y) for y in x], "z") for i, x in v.items()] + [(1, None, "z"), (2, [1.0], "z"), (1, [float("nan"), 0.0, 0.0, 0.0], "z"), (2, [0.0] * 4, "z")], "vec_id long, embedding array<float>, size string")
     got = near_duplicate_groups(records, vectors, dim=4)
     assert {(r.vec_id, r.group_id, r.size) for r in got.collect()} == {(0, 0, 3), (1, 0, 3), (2, 0, 3), (4, 4, 2), (5, 4, 2)}
-    assert {tuple(r) for r in pairs_of_groups(got).collect()} == {(0, 1), (0, 2), (1, 2), (4, 5)}
+    for rows in (4096, 1):
+        pairs = [tuple(r) for r in pairs_of_groups(got, rows).collect()]
+        assert sorted(pairs) == [(0, 1), (0, 2), (1, 2), (4, 5)]
     assert near_duplicate_groups(records.limit(0), vectors.limit(0), dim=4).count() == 0
     assert {r.vec_id for r in near_duplicate_groups(records, dim=4).collect()} == {0, 1}
 
