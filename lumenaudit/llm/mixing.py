@@ -2,11 +2,13 @@
 
 Membership of a document in the sources is soft: a classifier over hashed token ids,
 fitted on a bounded sample of labelled documents, gives a posterior from the text, and a
-delivered label counts with a rate of ``label_noise`` errors. Document rates, between 0
-and the cap of the document's source, are fitted by projected gradient steps on the
-squared differences between expected and wanted token totals. Each step is one pass over
-a small written table that sends one number per source and batch; a document's rate
-follows from the sequence of these few numbers, so no state is kept between passes.
+delivered label counts with a rate of ``label_noise`` errors. Documents of one delivered
+source whose posteriors agree (in the likeliest source, and in its probability to a tenth)
+have one rate. Their expected tokens of every source are summed where the documents are,
+in one pass, and projected gradient steps on these sums fit the rates, between 0 and the
+cap of the source, by least squares of expected against wanted tokens: the sums are exact,
+so a step costs the same for any number of documents. The draw is stratified by rate and
+token size, so that drawn totals follow the expected ones.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenaudit.functions.runtime import cut, spread
@@ -89,40 +91,71 @@ class SourceClassifier:
         return np.concatenate([self.posterior_of(self.features(ids[a : a + 256])) for a in range(0, len(ids), 256)]) if ids else np.zeros((0, self.classes), np.float32)
 
 
-def _rates(p: np.ndarray, cap: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
-    """Rates after the given gradient steps, each projected on 0..cap."""
-    w = np.minimum(1.0, cap)
-    for s in steps:
-        w = np.clip(w - p @ s, 0, cap)
-    return w
+#: Parts of a posterior's largest probability, and of an octave of token sizes, that are told apart.
+TENTHS, OCTAVE = 10, 4
 
 
 class Mixture:
-    """A fitted mixture: ``documents`` (``doc_id, source, tokens, rate, copies``) and ``report``."""
-
-    def __init__(self, documents: DataFrame, report: DataFrame) -> None:
-        self.documents, self.report = documents, report
+    """A fitted mixture: ``documents`` (``doc_id, source, tokens, rate, copies``), ``fit`` (what the rates give, before the draw) and ``report`` (with what was drawn)."""
+
+    def __init__(self, documents: DataFrame, fit: DataFrame, report: DataFrame) -> None:
+        self.documents, self.fit, self.report = documents, fit, report
+
+
+def fit_rates(sums: np.ndarray, cap: np.ndarray, want: np.ndarray, held: np.ndarray, max_steps: int = 50_000, tolerance: float = 1e-9) -> tuple[np.ndarray, bool]:
+    """(rate of each group of documents, did the steps settle): least squares of ``rate @ sums`` against ``want``, within 0..cap.
+
+    Differences are relative to what a source holds or should hold. Accelerated projected
+    gradient steps from rates in proportion to the wanted tokens.
+    """
+    scale = np.maximum(np.maximum(held, want), 1e-9)
+    a, goal = sums / scale, want / scale
+    mean = sums / np.maximum(sums.sum(1, keepdims=True), 1e-9)
+    w = np.clip(mean @ (want / np.maximum(held, 1e-9)), 0, cap)
+    size = np.linalg.norm(a, 2) ** 2 if a.size else 0.0
+    if not size:
+        return w, True
+    v, t = w, 1.0
+    for _ in range(max_steps):
+        new = np.clip(v - a @ (v @ a - goal) / size, 0, cap)
+        if np.abs(new - w).max() <= tolerance and np.abs(np.clip(new - a @ (new @ a - goal) / size, 0, cap) - new).max() <= tolerance:
+            return new, True
+        faster = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        # start anew where the last step went uphill
+        if ((v - new) * (new - w)).sum() > 0:
+            v, faster = new, 1.0
+        else:
+            v = new + (t - 1) / faster * (new - w)
+        w, t = new, faster
+    return w, False
 
 
 def mix_sources(
-    documents: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
-    sample_rows: int = 3000, sample_chars: int = 8_000_000, label_noise: float = 0.02, max_steps: int = 40, tolerance: float = 1e-6,
-    tokenizer: str | None = None, seed: int = 11,
+    documents: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", size: float | str | None = None,
+    sample_rows: int = 3000, sample_chars: int = 8_000_000, label_noise: float = 0.02, tokenizer: str | None = None, seed: int = 11,
 ) -> Mixture:
-    """Fits and draws a mixture of the size of all documents.
+    """Fits and draws a mixture of ``size`` tokens: a number, None for as many as all documents have, or ``most``.
+
+    ``most`` is the largest size at which every source that has documents reaches its share
+    within its cap. At larger sizes some sources fall short, the others still get their
+    share of the size, and the mixture is smaller than asked for.
 
     ``targets`` has ``source, target_share, max_repeats``; its rows are the classes (their
     number is the caller's, and only per-class numbers reach the driver). A document whose
     source is null or no class is placed by the classifier alone and capped like its most
-    likely class. ``copies`` is the rate rounded at random by a hash of the id, never above
-    the cap. The report has one row per class: ``source, target_share, max_repeats, tokens
-    (of delivered documents), expected_tokens, expected_share, drawn_tokens, drawn_share,
-    short`` (the fit stays below the target with the source used up).
+    likely class. ``copies`` is the rate rounded down, and one more for the part of its
+    stratum that the rest asks for, never above the cap. ``fit`` and ``report`` have one row
+    per class: ``source, target_share, max_repeats, wanted_tokens, expected_tokens,
+    expected_share, short`` (used as often as it may be, and still below what is wanted),
+    ``settled`` (the gradient steps came to rest); the report also ``tokens`` (of
+    delivered documents), ``drawn_tokens, drawn_share``.
 
     Only the classifier's sample is bounded (``sample_rows`` labelled rows chosen by a hash,
     ``sample_chars`` characters); token counts, posteriors and the fit cover all documents.
-    Null and empty texts have 0 tokens; null ids and repeated ids are documents like any
-    other; empty tables give a report of zeros.
+    To the driver come sums per delivered source, likeliest source, tenth of probability and
+    quarter octave of size, whatever the number of documents. Null and empty texts have 0
+    tokens; null ids and repeated ids are documents like any other; empty tables give a
+    report of zeros.
     """
     spark = documents.sparkSession
     rows = targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.max("target_share").alias("s"), F.max("max_repeats").alias("m")).orderBy("source").collect()
@@ -151,69 +184,112 @@ def mix_sources(
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, given = b.column(2).to_pylist(), b.column(1).to_pylist()
-            found = [token_ids(t, tokenizer) for t in texts]
-            p = model.posterior(found).astype(np.float64)
+            given = b.column(1).to_pylist()
+            found = [token_ids(t.as_py(), tokenizer) for t in b.column(2)]
+            q = model.posterior(found).astype(np.float64)
             known = np.array([place.get(s, -1) for s in given], int)
             on = known >= 0
+            top = q.argmax(1) if len(q) else known
+            tenth = np.minimum((q.max(1) * TENTHS).astype(int), TENTHS - 1) if len(q) else known
+            p = q.copy()
             p[on] *= label_noise
             p[np.flatnonzero(on), known[on]] += 1 - label_noise
-            cap = repeats[np.where(on, known, p.argmax(1))] if len(p) else np.zeros(0)
             n = np.array([len(f) for f in found], np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(cap.astype(np.float32)), pa.array(list(p.astype(np.float32)), pa.list_(pa.float32()))], names=["doc_id", "source", "tokens", "cap", "p"])
-
-    table = cut(spread(src).mapInArrow(weigh, "doc_id long, source string, tokens long, cap float, p array<float>"), "mixture")
-
-    def passes(steps: list[np.ndarray] | None) -> np.ndarray:
-        """Expected tokens of each source at the rates after ``steps`` (None: at rate 1)."""
-
-        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros(k)
-            for b in batches:
-                if b.num_rows:
-                    p = b.column(2).flatten().to_numpy().reshape(-1, k).astype(np.float64)
-                    n = b.column(0).to_numpy().astype(np.float64)
-                    w = np.ones(len(n)) if steps is None else _rates(p, b.column(1).to_numpy().astype(np.float64), steps)
-                    sums += (n * w) @ p
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), pa.array(sums)], names=["k", "v"])
-
-        got = table.select("tokens", "cap", "p").mapInArrow(partial, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
-        out = np.zeros(k)
-        for r in got:
-            out[r["k"]] = r["v"]
-        return out
-
-    held = passes(None)
-    size = held.sum()
-    want = share * size
-    steps: list[np.ndarray] = []
-    expected = passes(steps)
-    for _ in range(max_steps):
-        if not size:
-            break
-        # gradient of the squared differences, each relative to what the source holds or should hold
-        steps.append((expected - want) / np.maximum(np.maximum(held, want), 1e-9))
-        was, expected = expected, passes(steps)
-        if np.abs(expected - was).max() <= tolerance * size:
-            break
-
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part = (np.where(on, known, k) * k + top) * TENTHS + tenth
+            sort = np.where(n > 0, 1 + np.floor(OCTAVE * np.log2(np.maximum(n, 1))), 0)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(n), pa.array(part.astype(np.int32)), pa.array(sort.astype(np.int32)), pa.array(list(p.astype(np.float32)), pa.list_(pa.float32()))],
+                names=["doc_id", "source", "tokens", "part", "sort", "p"],
+            )
+
+    table = cut(spread(src).mapInArrow(weigh, "doc_id long, source string, tokens long, part int, sort int, p array<float>"), "mixture")
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents and expected tokens of every source, by part and size."""
+        held: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
-            p = b.column(4).flatten().to_numpy().reshape(-1, k).astype(np.float64)
-            w = _rates(p, b.column(3).to_numpy().astype(np.float64), steps) if b.num_rows else np.zeros(0)
-            u = b.column(5).to_numpy()
-            copies = np.floor(w) + (u < w - np.floor(w))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(w), pa.array(copies.astype(np.int32))], names=["doc_id", "source", "tokens", "rate", "copies"])
-
-    toss = (F.pmod(F.xxhash64("doc_id", "tokens", F.lit(seed + 1)), F.lit(1 << 30)) / float(1 << 30)).alias("u")
-    chosen = table.select("doc_id", "source", "tokens", "cap", "p", toss).mapInArrow(draw, "doc_id long, source string, tokens long, rate double, copies int")
-    sums = chosen.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.sum(F.col("tokens") * F.col("copies")).alias("drawn_tokens"))
-    fit = spark.createDataFrame([(n, float(share[i]), int(repeats[i]), float(expected[i]), float(want[i])) for i, n in enumerate(names)], "source string, target_share double, max_repeats int, expected_tokens double, wanted double")
-    everything = sums.agg(F.sum("drawn_tokens").alias("all_drawn"), F.sum("tokens").alias("all_tokens"))
-    report = fit.join(sums, "source", "left").crossJoin(F.broadcast(everything)).select(
-        "source", "target_share", "max_repeats", F.coalesce("tokens", F.lit(0)).alias("tokens"), "expected_tokens", (F.col("expected_tokens") / F.lit(float(expected.sum()) or None)).alias("expected_share"),
-        F.coalesce("drawn_tokens", F.lit(0)).alias("drawn_tokens"), (F.coalesce("drawn_tokens", F.lit(0)) / F.col("all_drawn")).alias("drawn_share"),
-        # the fit falls short, and the exact totals confirm that the source is used up
-        ((F.col("expected_tokens") < F.col("wanted") * 0.9999) & (F.col("max_repeats") * F.coalesce("tokens", F.lit(0)) < F.col("target_share") * F.coalesce("all_tokens", F.lit(0)))).alias("short"),
-    )
-    return Mixture(chosen, report)
+            if not b.num_rows:
+                continue
+            code = np.stack([b.column(1).to_numpy(), b.column(2).to_numpy()], 1)
+            keys, back = np.unique(code, axis=0, return_inverse=True)
+            n = b.column(0).to_numpy().astype(np.float64)
+            p = b.column(3).flatten().to_numpy().reshape(-1, k).astype(np.float64)
+            out = np.zeros((len(keys), k + 1))
+            np.add.at(out, back.ravel(), np.concatenate([np.ones((len(n), 1)), p * n[:, None]], 1))
+            for x, row in zip(map(tuple, keys.tolist()), out):
+                held[x] = held[x] + row if x in held else row
+        if held:
+            v = np.array(list(held.values()))
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.array(c, np.int32)) for c in zip(*held)), *(pa.array(c) for c in v.T)], names=["part", "sort", "n", *[f"s{i}" for i in range(k)]])
+
+    columns = ", ".join(["n double", *[f"s{i} double" for i in range(k)]])
+    summed = table.select("tokens", "part", "sort", "p").mapInArrow(partial, f"part int, sort int, {columns}").groupBy("part", "sort").agg(*[F.sum(c).alias(c) for c in ("n", *[f"s{i}" for i in range(k)])])
+    got = summed.orderBy("part", "sort").toArrow()
+    part, sort, docs = (got.column(c).to_numpy() for c in ("part", "sort", "n"))
+    cells = np.stack([got.column(f"s{i}").to_numpy() for i in range(k)], 1) if len(part) else np.zeros((0, k))
+    parts, back = np.unique(part, return_inverse=True)
+    sums = np.zeros((len(parts), k))
+    np.add.at(sums, back, cells)
+    own = parts // TENTHS // k
+    cap = repeats[np.where(own < k, own, parts // TENTHS % k)] if len(parts) else np.zeros(0)
+
+    held = sums.sum(0)
+    if size == "most":
+        reach = np.array([(cap[own == i, None] * sums[own == i])[:, i].sum() for i in range(k)])
+        some = (share > 0) & (reach > 0)
+        size = float((reach[some] / share[some]).min()) if some.any() else 0.0
+    elif isinstance(size, str):
+        raise ValueError(f"size={size!r}: a number of tokens, None or most")
+    want = share * (held.sum() if size is None else float(size))
+    rate, settled = fit_rates(sums, cap, want, held)
+    expected = rate @ sums
+    used = np.array([(rate[own == i] * sums[own == i].sum(1)).sum() >= 0.999 * (cap[own == i] * sums[own == i].sum(1)).sum() for i in range(k)], bool)
+    short = used & (expected < 0.995 * want)
+
+    # strata of one rate and like size: whole copies for all, one more for a part of them; the parts
+    # of a source's strata are rounded together, in the order of size
+    of = rate[back] if len(part) else np.zeros(0)
+    whole = np.floor(of + 1e-9)
+    loose = np.clip(of - whole, 0, None) * docs
+    more = np.zeros(len(part), np.int64)
+    rng = np.random.default_rng(seed)
+    for o in np.unique(own):
+        at = np.flatnonzero(own[back] == o)
+        at = at[np.lexsort((part[at], sort[at]))]
+        upto = np.floor(np.cumsum(loose[at]) + rng.random())
+        more[at] = np.minimum(np.diff(np.r_[0, upto]), docs[at])
+    strata = spark.createDataFrame([(int(a), int(b), float(r), int(w), int(m), int(n)) for a, b, r, w, m, n in zip(part, sort, of, whole, more, docs)], "part int, sort int, rate double, whole int, more long, docs long")
+    # the plan has one row per stratum, a number that does not grow with the documents
+    planned = table.select("doc_id", "source", "tokens", "part", "sort").join(F.broadcast(strata), ["part", "sort"])
+    chosen = _draw(planned, seed + 1).select("doc_id", "source", "tokens", "rate", "copies")
+    made = float(expected.sum())
+    fit = spark.createDataFrame(
+        [(n, float(share[i]), int(repeats[i]), float(want[i]), float(expected[i]), float(expected[i]) / made if made else None, bool(short[i]), settled) for i, n in enumerate(names)],
+        "source string, target_share double, max_repeats int, wanted_tokens double, expected_tokens double, expected_share double, short boolean, settled boolean",
+    )
+    got = chosen.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.sum(F.col("tokens") * F.col("copies")).alias("drawn_tokens"))
+    everything = got.agg(F.sum("drawn_tokens").alias("all_drawn"))
+    zero = F.lit(0).cast("long")
+    # one row per class and one row of totals
+    report = fit.join(got, "source", "left").crossJoin(F.broadcast(everything)).select(
+        *fit.columns, F.coalesce("tokens", zero).alias("tokens"), F.coalesce("drawn_tokens", zero).alias("drawn_tokens"), (F.coalesce("drawn_tokens", zero) / F.nullif(F.col("all_drawn"), zero)).alias("drawn_share")
+    )
+    return Mixture(chosen, fit, report)
+
+
+def _draw(planned: DataFrame, seed: int, ranges: int = 256) -> DataFrame:
+    """Adds ``copies``: ``whole``, and one more for the ``more`` documents of each stratum with the smallest hash.
+
+    Only strata that are drawn from in part are ordered, in ranges of the hash; running
+    counts tell which ranges are taken whole, so a stratum of any size is no single task.
+    """
+    plain = planned.where((F.col("more") == 0) | (F.col("more") >= F.col("docs"))).withColumn("copies", F.col("whole") + F.when(F.col("more") > 0, 1).otherwise(0))
+    open_ = planned.where((F.col("more") > 0) & (F.col("more") < F.col("docs"))).withColumn("h", F.xxhash64("doc_id", "tokens", F.lit(seed)))
+    open_ = open_.withColumn("range", F.shiftrightunsigned("h", 64 - (ranges - 1).bit_length()))
+    keys = ["part", "sort", "range"]
+    before = F.sum("n").over(Window.partitionBy("part", "sort").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    per = open_.groupBy(*keys).agg(F.count("*").alias("n")).select(*keys, F.coalesce(before, F.lit(0)).alias("before"))
+    order = Window.partitionBy(*keys).orderBy("h", "doc_id")
+    ranked = open_.join(per, keys).withColumn("r", F.row_number().over(order))
+    ranked = ranked.withColumn("copies", F.col("whole") + F.when(F.col("before") + F.col("r") <= F.col("more"), 1).otherwise(0))
+    return plain.unionByName(ranked.select(*plain.columns))

@@ -136,19 +136,27 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    """Sources that stay below their share although used as often as they may be."""
-    return mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets")).report.where("short").select("source")
+    """Sources that stay below their share of all tokens although used as often as they may be: those the fit leaves short."""
+    return mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets")).fit.where("short").select("source")
+
+
+def _shares(report: DataFrame) -> DataFrame:
+    return report.withColumns({c: F.round(c, 6) for c in ("wanted_tokens", "expected_tokens", "expected_share", "drawn_share")})
 
 
 def p9_report(spark: SparkSession, d: str) -> DataFrame:
-    """Wanted, expected and drawn shares of each source."""
-    out = mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets")).report
-    return out.withColumns({c: F.round(c, 6) for c in ("expected_tokens", "expected_share", "drawn_share")})
+    """Wanted, expected and drawn shares of each source in a mixture as large as all documents."""
+    return _shares(mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets")).report)
+
+
+def p9_balanced_report(spark: SparkSession, d: str) -> DataFrame:
+    """The same of the largest mixture in which every source reaches its share."""
+    return _shares(mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"), size="most").report)
 
 
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
-    """How often each page is used."""
-    out = mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets")).documents
+    """How often each page is used in the largest mixture in which every source reaches its share."""
+    out = mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"), size="most").documents
     return out.withColumn("rate", F.round("rate", 6))
 
 

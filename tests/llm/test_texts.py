@@ -141,9 +141,29 @@ def test_mixture(spark):
     assert report["small"].drawn_tokens == 2 * report["small"].tokens
     d = m.documents.collect()
     assert len(d) == len(rows) and all(0 <= r.copies <= (2 if r.source == "small" else 5) for r in d)
+    assert all(r.settled for r in report.values())
     assert {r.source for r in mix_sources(docs(spark, []), targets).report.where("short").collect()} == set()
 
 
+def test_mixture_meets_its_shares(spark):
+    words = {"news": "market paper minister", "code": "return import value", "forum": "thanks anybody please", "wiki": "born river century"}
+    rng = np.random.default_rng(0)
+    many = {"news": 900, "code": 300, "forum": 200, "wiki": 60}
+    rows = [(i, " ".join(rng.choice(words[s].split(), int(rng.integers(20, 400)))), "en", s) for i, s in enumerate(x for x, n in many.items() for _ in range(n))]
+    targets = spark.createDataFrame([("news", 0.3, 1), ("code", 0.3, 2), ("forum", 0.25, 2), ("wiki", 0.15, 3)], "source string, target_share double, max_repeats int")
+    m = mix_sources(docs(spark, rows), targets, size="most")
+    report = {r.source: r for r in m.report.collect()}
+    for r in report.values():
+        assert abs(r.expected_share - r.target_share) < 0.01 * r.target_share + 0.001 and not r.short and r.settled
+        assert abs(r.drawn_share - r.target_share) < 0.02 * r.target_share + 0.002
+    total = sum(r.drawn_tokens for r in report.values())
+    most = min(sum(len(token_ids(t)) for _, t, _, x in rows if x == s) * m / w for s, w, m in ((r.source, r.target_share, r.max_repeats) for r in targets.collect()))
+    assert 0.95 * most < total < 1.02 * most
+    assert sum(r.drawn_tokens for r in mix_sources(docs(spark, rows), targets, size=20_000).report.collect()) == pytest.approx(20_000, rel=0.03)
+    with pytest.raises(ValueError):
+        mix_sources(docs(spark, rows), targets, size="all")
+
+
 # -- languages -------------------------------------------------------------------------------
 
 TEXT = {
