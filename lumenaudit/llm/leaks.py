@@ -86,7 +86,11 @@ class BlockIndex:
 
 
 class Items:
-    """One slice of the items, ready for the search."""
+    """One slice of the items, ready for the search.
+
+    Windows that several items share, as an instruction they have in common, are in the
+    index once; their owners are attached to what was found.
+    """
 
     def __init__(self, ids: list[int], texts: list[str], width: int, radius: int) -> None:
         hashes = WordHashes()
@@ -99,8 +103,17 @@ class Items:
         for k, (s, n) in enumerate(zip(start, size)):
             m = max(0, n - width + 1)
             window.append(s + np.arange(m)), owner.append(np.full(m, k))
-        self.start, self.owner = np.concatenate(window), np.concatenate(owner)
+        at, who = np.concatenate(window), np.concatenate(owner)
         self.ids, self.size = np.array(ids, np.int64), size
+        # equal windows: one in the index, with the places it stands in (item, position)
+        text = np.lib.stride_tricks.sliding_window_view(self.words, width)[at] if len(at) else np.zeros((0, width), np.uint64)
+        whole = np.ascontiguousarray(text).view(np.dtype((np.void, width * 8))).ravel()
+        _, first, back = np.unique(whole, return_index=True, return_inverse=True)
+        back = back.ravel()
+        order = np.argsort(back, kind="stable")
+        self.start = at[first]
+        self.place_owner, self.place_at = who[order], at[order]
+        self.place_first = np.r_[0, np.cumsum(np.bincount(back, minlength=len(first)))]
         feats = np.concatenate([np.zeros(0, np.uint64), *(np.r_[shingles(p), np.zeros(min(1, len(p)), np.uint64)] for p in per)])
         prints = simhashes(feats, width - 1)
         self.index = BlockIndex(prints[self.start], radius) if len(self.start) else None
@@ -116,15 +129,27 @@ class Items:
     def similarity(self, doc: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Weighted Jaccard similarity of the shingle sets of document and item windows."""
         span = np.arange(self.width)
-        a, b = doc[i[:, None] + span], self.words[self.start[j][:, None] + span]
         out = np.ones(len(i))
-        differ = np.flatnonzero((a != b).any(1))
-        for x in differ:
-            p, q = np.unique(shingles(a[x])), np.unique(shingles(b[x]))
-            both, all_ = np.intersect1d(p, q), np.union1d(p, q)
-            out[x] = self.weights(both).sum() / self.weights(all_).sum()
+        for lo in range(0, len(i), 1 << 14):
+            a, b = doc[i[lo : lo + (1 << 14), None] + span], self.words[self.start[j[lo : lo + (1 << 14)]][:, None] + span]
+            differ = np.flatnonzero((a != b).any(1))
+            p, q = (mix(x[differ, :-1], x[differ, 1:]) for x in (a, b))
+            # a repeated shingle of a window counts once; the second window's weigh only where the first lacks them
+            p, q = np.sort(p, 1), np.sort(q, 1)
+            new_p = np.concatenate([np.ones((len(p), 1), bool), p[:, 1:] != p[:, :-1]], 1)
+            new_q = np.concatenate([np.ones((len(q), 1), bool), q[:, 1:] != q[:, :-1]], 1)
+            known = (q[:, :, None] == p[:, None, :]).any(2)
+            wp, wq = self.weights(p) * new_p, self.weights(q) * new_q
+            both = (wq * known).sum(1)
+            out[lo + differ] = both / (wp.sum(1) + wq.sum(1) - both)
         return out
 
+    def places(self, i: np.ndarray, j: np.ndarray, sim: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(document position, item, position in the items' words, similarity): each hit once for every place its window stands in."""
+        n = self.place_first[j + 1] - self.place_first[j]
+        at = np.repeat(self.place_first[j] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        return np.repeat(i, n), self.place_owner[at], self.place_at[at], np.repeat(sim, n)
+
 
 def leaked_passages(
     documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text",
@@ -196,36 +221,32 @@ def _match(items: Items, texts: list[np.ndarray], ids: list[int], min_similarity
     i = whole[i]
     sim = items.similarity(doc, i, j)
     ok = sim >= min_similarity
-    i, j, sim = i[ok], j[ok], sim[ok]
+    i, t, at, sim = items.places(i[ok], j[ok], sim[ok])
     if not len(i):
         return
-    span = np.arange(width)
-    same = (doc[i[:, None] + span] == items.words[items.start[j][:, None] + span]).all(1)
-    d, t = owner[i], items.owner[j]
+    d = owner[i]
+    code = d * len(items.ids) + t
     # runs: equal windows that follow each other in both texts
-    e = np.flatnonzero(same)
-    shift = items.start[j[e]] - i[e]
-    order = np.lexsort((i[e], shift, t[e], d[e]))
+    span = np.arange(width)
+    e = np.concatenate([x + np.flatnonzero((doc[i[x : x + (1 << 16), None] + span] == items.words[at[x : x + (1 << 16), None] + span]).all(1)) for x in range(0, len(i), 1 << 16)])
+    shift = at[e] - i[e]
+    order = np.lexsort((i[e], shift, code[e]))
     e, shift = e[order], shift[order]
-    run = np.ones(len(e), np.int64)
-    if len(e):
-        start = np.r_[True, (d[e][1:] != d[e][:-1]) | (t[e][1:] != t[e][:-1]) | (shift[1:] != shift[:-1]) | (i[e][1:] != i[e][:-1] + 1)]
-        run = np.arange(len(e)) - np.maximum.accumulate(np.where(start, np.arange(len(e)), 0)) + width
-    longest: dict[tuple[int, int], int] = {}
-    for a, b, r in zip(d[e].tolist(), t[e].tolist(), run.tolist()):
-        longest[a, b] = max(r, longest.get((a, b), 0))
-    seen: dict[tuple[int, int], set[int]] = {}
-    best: dict[tuple[int, int], float] = {}
-    for a, b, w, s in zip(d.tolist(), t.tolist(), j.tolist(), sim.tolist()):
-        seen.setdefault((a, b), set()).add(w)
-        best[a, b] = max(s, best.get((a, b), 0.0))
-    keys = list(seen)
-    n = np.array([len(seen[k]) for k in keys])
-    every = np.array([items.size[b] - width + 1 for _, b in keys])
+    start = np.r_[True, (code[e][1:] != code[e][:-1]) | (shift[1:] != shift[:-1]) | (i[e][1:] != i[e][:-1] + 1)][: len(e)]
+    run = np.arange(len(e)) - np.maximum.accumulate(np.where(start, np.arange(len(e)), 0)) + width
+    keys, back = np.unique(code, return_inverse=True)
+    back = back.ravel()
+    longest, best = np.zeros(len(keys), np.int64), np.zeros(len(keys))
+    np.maximum.at(longest, back[e], run)
+    np.maximum.at(best, back, sim)
+    # an item's windows found: each of its places once
+    n = np.bincount(np.unique(np.stack([back, at], 1), axis=0)[:, 0], minlength=len(keys))
+    owner_of, item = keys // len(items.ids), keys % len(items.ids)
+    every = items.size[item] - width + 1
     yield pa.RecordBatch.from_arrays(
         [
-            pa.array([ids[a] for a, _ in keys], pa.int64()), pa.array(items.ids[[b for _, b in keys]], pa.int64()), pa.array(n, pa.int32()),
-            pa.array([best[k] for k in keys], pa.float64()), pa.array([longest.get(k, 0) for k in keys], pa.int32()), pa.array(n / every, pa.float64()),
+            pa.array([ids[a] for a in owner_of.tolist()], pa.int64()), pa.array(items.ids[item], pa.int64()), pa.array(n, pa.int32()),
+            pa.array(best, pa.float64()), pa.array(longest, pa.int32()), pa.array(n / every, pa.float64()),
         ],
         names=["doc_id", "item_id", "windows", "similarity", "longest_run", "item_share"],
     )
