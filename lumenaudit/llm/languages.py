@@ -39,6 +39,9 @@ MIX_UPS = (
 
 PIECE, MARGIN = 448, 32
 
+#: Bytes of the table that remembers the best paths of the texts searched together.
+PATH_CELLS = 1 << 26
+
 
 def language_code(label: str | None) -> str | None:
     """The two-letter code a label names; null if it names none of the languages."""
@@ -165,14 +168,14 @@ def best_paths(scores: np.ndarray, owner: np.ndarray, texts: int, change: float,
     size = np.bincount(owner, minlength=texts) if len(owner) else np.zeros(texts, int)
     start = np.r_[0, np.cumsum(size)][:-1]
     out = np.zeros(len(s), np.int8)
-    # texts of like length together
+    # texts of like length together, as many as keep the table of origins small
     order = np.argsort(-size, kind="stable")
-    for a in range(0, len(order), 512):
-        rows = order[a : a + 512]
-        rows = rows[size[rows] > 0]
-        if not len(rows):
-            continue
-        longest = int(size[rows[0]])
+    order = order[size[order] > 0]
+    a = 0
+    while a < len(order):
+        longest = int(size[order[a]])
+        rows = order[a : a + max(1, min(512, PATH_CELLS // (longest * s.shape[1])))]
+        a += len(rows)
         best = np.zeros((len(rows), s.shape[1]), np.float32)
         origin = np.zeros((longest, len(rows), s.shape[1]), np.int8)
         same = np.arange(s.shape[1], dtype=np.int8)

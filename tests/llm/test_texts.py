@@ -99,6 +99,27 @@ def test_leaks_find_small_edits(spark):
     assert L.leaked_passages(docs(spark, [(1, text, "en", "s")]), its.limit(0)).count() == 0
 
 
+def test_shared_windows_are_indexed_once():
+    shared = " ".join(f"w{i}" for i in range(14))
+    items = L.Items(list(range(50)), [f"{shared} own{k} " + " ".join(f"o{k}x{i}" for i in range(12)) for k in range(50)], 12, 3)
+    assert len(items.start) == 3 + 50 * 13 and len(items.place_at) == 50 * 16
+    h = L.WordHashes()(shared.split())
+    (batch,) = L._match(items, [h], [7], 0.8)
+    assert batch.column("item_id").to_pylist() == list(range(50)) and set(batch.column("longest_run").to_pylist()) == {14} and set(batch.column("windows").to_pylist()) == {3}
+
+
+def test_window_similarity_is_the_weighted_jaccard():
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in rng.integers(0, 8, 40)]
+    items = L.Items([1, 2], [" ".join(base[:20]), " ".join(base[10:])], 12, 3)
+    doc = L.WordHashes()([w if rng.random() > 0.15 else "zz" for w in base])
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(doc) - 11), np.arange(len(items.start))))
+    got = items.similarity(doc, i, j)
+    for a, b, s in zip(i, j, got):
+        p, q = np.unique(L.shingles(doc[a : a + 12])), np.unique(L.shingles(items.words[items.start[b] : items.start[b] + 12]))
+        assert s == pytest.approx(items.weights(np.intersect1d(p, q)).sum() / items.weights(np.union1d(p, q)).sum())
+
+
 def test_leaks_in_slices(spark, monkeypatch):
     rng = np.random.default_rng(8)
     items = [(k, " ".join(f"v{x}" for x in rng.integers(0, 500, 30))) for k in range(12)]
@@ -188,6 +209,18 @@ def net():
     return train_network([t for t, _ in data], [CODES.index(c) for _, c in data], pieces=3000, epochs=3)
 
 
+def test_paths_of_mixed_lengths(monkeypatch):
+    from lumenaudit.llm import languages
+
+    rng = np.random.default_rng(2)
+    size = [5, 400, 0, 17, 60, 1]
+    owner = np.repeat(np.arange(len(size)), size)
+    scores = np.log(rng.dirichlet(np.ones(len(CODES)), len(owner))).astype(np.float32)
+    want = languages.best_paths(scores, owner, len(size), 3.0, -2.5)
+    monkeypatch.setattr(languages, "PATH_CELLS", 100)
+    assert (languages.best_paths(scores, owner, len(size), 3.0, -2.5) == want).all()
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(0)
     n = ByteNetwork(3, hidden=4)
