@@ -55,7 +55,7 @@ def p7_labels(spark: SparkSession, d: str) -> DataFrame:
 
 def _report(spark: SparkSession, d: str, how: str) -> DataFrame:
     rows = table(spark, d, "quality_scores").select(label_key("label").alias("label"), "measure_id", "quality_score", "brightness")
-    joined = fragment_replicate_join(rows, table(spark, d, "sample_targets"), "label", how)
+    joined = fragment_replicate_join(rows, table(spark, d, "sample_targets"), "label", how, spread_by=["measure_id"])
     score = F.when(F.isnan("quality_score"), None).otherwise(F.col("quality_score"))
     return joined.groupBy("label").agg(
         F.count("*").alias("n_rows"), F.count_distinct("measure_id").alias("n_measures"), _exact_mean(score).alias("mean_score"),
