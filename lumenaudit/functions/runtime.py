@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 
@@ -9,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
+#: Paths below the shared folder that this application has made and not yet deleted.
+_made: dict[str, SparkSession] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
@@ -25,6 +31,34 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; it is deleted by ``clean``, at the latest when the application ends."""
+    path = f"{shared_dir(spark)}/lumenaudit/{name}-{uuid.uuid4().hex}"
+    _made[path] = spark
+    return path
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes what ``cut`` and ``scratch`` have left in the shared folder; results that still read it are then lost."""
+    for path in [p for p, s in _made.items() if s is spark]:
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _made.pop(path, None)
+
+
+@atexit.register
+def _clean_all() -> None:
+    # the session may be gone: then the folder is the cluster's to clear
+    with contextlib.suppress(Exception):
+        for path, spark in list(_made.items()):
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -32,7 +66,7 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     before. ``drop_cut`` removes the files when a loop no longer needs them.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lumenaudit/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     again = spark.read.schema(df.schema).parquet(path)
     again._lumen_path = path
@@ -43,9 +77,7 @@ def drop_cut(df: DataFrame) -> None:
     """Delete the files behind a DataFrame made by ``cut``; others are left alone."""
     path = getattr(df, "_lumen_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(df.sparkSession, path)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -58,11 +90,18 @@ def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), spark.sparkContext.defaultParallelism)
 
 
+#: Operators whose output is partitioned by a shuffle.
+_WIDE = re.compile(r"^[\s:+|-]*(Join|Aggregate|Window|Sort|Distinct|Repartition|RepartitionByExpression|FlatMapGroupsInArrow|FlatMapGroupsInPandas|Intersect|Except)\b", re.M)
+
+
 def spread(df: DataFrame, *cols: str) -> DataFrame:
     """Rows dealt evenly over the tasks when the input has fewer splits than the session has cores.
 
-    A scan of many splits is left as it is, so no shuffle is paid at scale.
+    A scan of many splits is left as it is, so no shuffle is paid at scale; so are tables
+    that come out of a shuffle, as counting their parts would run it.
     """
+    if _WIDE.search(df._jdf.queryExecution().optimizedPlan().toString()):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,9 @@ def kmeans_clusters(vectors: DataFrame, k: int, seed: int = 42, restarts: int =
         n = rows.count()
         if not 2 <= k < n:
             raise ValueError(f"k={k}: must be at least 2 and below the number of rows, {n}")
-        fits = [KMeans(k=k, seed=seed + i).fit(rows) for i in range(restarts)]
+        # the fits are independent: their many short jobs run side by side
+        with ThreadPoolExecutor(min(restarts, 5)) as pool:
+            fits = list(pool.map(lambda i: KMeans(k=k, seed=seed + i).fit(rows), range(restarts)))
         best = min(fits, key=lambda m: m.summary.trainingCost)
         return best.transform(rows).select("vec_id", F.col("prediction").alias("cluster_id"))
     finally:

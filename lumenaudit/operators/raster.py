@@ -28,8 +28,9 @@ _ARROW = {"string": pa.string(), "boolean": pa.bool_(), "int": pa.int32(), "long
 
 
 def gray_of(bgr: np.ndarray) -> np.ndarray:
-    """Gray values 0..255, rounded."""
-    return np.rint(bgr.astype(np.float64) @ np.array(GRAY_WEIGHTS))
+    """Gray values 0..255, rounded half up: thousandths in whole numbers, so that ties fall alike everywhere."""
+    thousand = np.rint(1000 * np.array(GRAY_WEIGHTS)).astype(np.int64)
+    return ((bgr.astype(np.int64) @ thousand + 500) // 1000).astype(np.float64)
 
 
 def _shift(g: np.ndarray, dy: int, dx: int, mode: str) -> np.ndarray:
@@ -61,10 +62,11 @@ def blockiness(g: np.ndarray, block: int = 8) -> float:
 
 
 def saturation_mean(bgr: np.ndarray) -> float:
-    """Mean of 255 (max - min) / max, rounded per pixel, 0 for black."""
-    x = bgr.astype(np.float64)
+    """Mean of 255 (max - min) / max, rounded half up per pixel, 0 for black."""
+    x = bgr.astype(np.int64)
     high, low = x.max(2), x.min(2)
-    return float(np.rint(np.where(high > 0, 255 * (high - low) / np.where(high > 0, high, 1), 0)).mean())
+    safe = np.maximum(high, 1)
+    return float(((510 * (high - low) + safe) // (2 * safe)).mean())
 
 
 def pixels(row: dict) -> np.ndarray | None:
@@ -75,11 +77,16 @@ def pixels(row: dict) -> np.ndarray | None:
     return np.repeat(x, 3, 2) if x.shape[2] == 1 else x[:, :, :3]
 
 
+def _one_by_one(batch: pa.RecordBatch) -> Iterator[tuple[str, dict | None]]:
+    """Path and image of each row; only one row's bytes become a Python object at a time."""
+    for i in range(batch.num_rows):
+        yield batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+
+
 def _map(images: DataFrame, one: Callable[[str, np.ndarray | None, dict], dict], schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            # an image at a time, so that a batch of large images is not held twice
-            rows = [one(r["path"], pixels(r["image"]), r["image"] or {}) for r in b.to_pylist()]
+            rows = [one(path, pixels(image), image or {}) for path, image in _one_by_one(b)]
             yield pa.RecordBatch.from_pylist(rows, arrow)
 
     arrow = pa.schema([(f.split()[0], _ARROW[f.split()[1]]) for f in schema.split(", ")])
@@ -179,6 +186,49 @@ class HistogramEmbedder:
         return np.array(out)
 
 
+#: Side, means and deviations (red, green, blue) of the pictures that image networks are usually trained on.
+NETWORK_SIDE, NETWORK_MEAN, NETWORK_DEVIATION = 224, (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
+
+
+def resized(x: np.ndarray, side: int) -> np.ndarray:
+    """Square picture of ``side`` by bilinear interpolation between pixel centres."""
+    out = x.astype(np.float32)
+    for axis in (0, 1):
+        n = out.shape[axis]
+        at = np.clip((np.arange(side) + 0.5) * n / side - 0.5, 0, n - 1)
+        low = at.astype(int)
+        high, part = np.minimum(low + 1, n - 1), (at - low).astype(np.float32)
+        part = part.reshape([-1 if i == axis else 1 for i in range(out.ndim)])
+        out = np.take(out, low, axis) * (1 - part) + np.take(out, high, axis) * part
+    return out
+
+
+class NetworkEmbedder:
+    """A network in ONNX form without its last layer; the file must lie where every executor can read it.
+
+    ``device`` is ``cpu``, ``cuda`` or ``auto`` (CUDA where the runtime offers it).
+    ``session`` may replace the runtime's own, with the same ``run`` and ``get_inputs``.
+    """
+
+    def __init__(self, model: str, device: str = "auto", side: int = NETWORK_SIDE, session: object | None = None) -> None:
+        if device not in ("cpu", "cuda", "auto"):
+            raise ValueError(f"device={device!r}: cpu, cuda or auto")
+        self.side = side
+        if session is None:
+            import onnxruntime
+
+            offered = onnxruntime.get_available_providers()
+            cuda = ["CUDAExecutionProvider"] if device == "cuda" or (device == "auto" and "CUDAExecutionProvider" in offered) else []
+            session = onnxruntime.InferenceSession(model, providers=[*cuda, "CPUExecutionProvider"])
+        self.session, self.name = session, session.get_inputs()[0].name
+
+    def embed(self, images: list[np.ndarray]) -> np.ndarray:
+        rgb = np.stack([resized(x[:, :, ::-1], self.side) for x in images]) / 255
+        x = (rgb - np.array(NETWORK_MEAN, np.float32)) / np.array(NETWORK_DEVIATION, np.float32)
+        out = self.session.run(None, {self.name: x.transpose(0, 3, 1, 2).astype(np.float32)})[0]
+        return np.asarray(out).reshape(len(images), -1)
+
+
 #: Embedders by name; ``register_embedder`` adds more.
 EMBEDDERS: dict[str, Callable[[], Embedder]] = {"histogram": HistogramEmbedder}
 
@@ -195,15 +245,24 @@ def embed_images(images: DataFrame, embedder: str | Callable[[], Embedder] = "hi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make()
+
+        def embedded(part: list[tuple[str, np.ndarray]]) -> pa.RecordBatch:
+            v = np.asarray(model.embed([x for _, x in part]))
+            if normalize:
+                v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in part]), pa.array(v.astype(np.float32).tolist(), pa.list_(pa.float32()))], names=["path", "embedding"])
+
         for b in batches:
-            rows = [(r["path"], pixels(r["image"])) for r in b.to_pylist()]
-            rows = [r for r in rows if r[1] is not None]
-            for at in range(0, len(rows), batch):
-                part = rows[at : at + batch]
-                v = model.embed([x for _, x in part])
-                if normalize:
-                    v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in part]), pa.array(v.astype(np.float32).tolist(), pa.list_(pa.float32()))], names=["path", "embedding"])
+            held: list[tuple[str, np.ndarray]] = []
+            for path, image in _one_by_one(b):
+                x = pixels(image)
+                if x is not None:
+                    held.append((path, x))
+                if len(held) == batch:
+                    yield embedded(held)
+                    held = []
+            if held:
+                yield embedded(held)
 
     return images.select("path", "image").mapInArrow(run, "path string, embedding array<float>")
 

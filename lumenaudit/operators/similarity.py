@@ -9,7 +9,7 @@ rows asked for (the k best, or pairs above a bound) leave a task.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,7 @@ from lumenaudit.functions.runtime import cut, spread
 from lumenaudit.functions.vectors import as_double, euclidean, norm
 from lumenaudit.operators.components import connected_components
 from lumenaudit.operators.order_statistics import percentiles_of
+from lumenaudit.operators.raster import Embedder, embed_images
 
 #: Rows of a chunk at most. Every row is sent to as many tasks as there are chunks.
 CHUNK_ROWS = 16384
@@ -374,3 +375,15 @@ def diversity_index(vectors: DataFrame, label: str, id_col: str = "vec_id", vec_
     inside = intra_class_diversity(vectors, label, id_col, vec_col).agg(F.avg("mean_distance").alias("mean_intra_distance"))
     between = class_overlap(vectors, label, vec_col).agg(F.avg("distance").alias("mean_inter_distance"))
     return inside.crossJoin(between).withColumn("diversity_index", F.col("mean_intra_distance") / (F.coalesce("mean_inter_distance", F.lit(0.0)) + 1e-8))
+
+
+def label_images(images: DataFrame, samples: DataFrame, embedder: str | Callable[[], Embedder] = "histogram", k: int = 5, threshold: float = 0.7) -> DataFrame:
+    """From images and partly labelled samples to labels in one call.
+
+    ``samples`` has ``vec_id, path, label``, ``images`` has ``path, image``. Images are
+    embedded, unlabelled ones get the vote of their ``k`` nearest labelled ones, and votes
+    below ``threshold`` stay ``unknown``. The result is that of ``relabel`` with ``path``;
+    samples whose image cannot be decoded have no row.
+    """
+    vectors = cut(embed_images(images, embedder).join(samples.select("vec_id", "path", "label"), "path"), "embedded")
+    return relabel(vectors, "label", k, threshold).join(vectors.select("vec_id", "path"), "vec_id")

@@ -1,3 +1,3 @@
 """Core queries over the test tables; each module registers its own."""
 
-from lumenaudit.plans import metrics, similarity, skewed, tables  # noqa: F401
+from lumenaudit.plans import files, images, metrics, similarity, skewed, tables  # noqa: F401

@@ -62,7 +62,12 @@ def load_dataset(spark: SparkSession, root: str, structured: bool = True, label_
     return files.select(make_id(F.col("path")).alias("id"), "path", label.alias("label")).orderBy("path")
 
 
+def origin_path(origin: Column) -> Column:
+    """The path behind an image's origin: the image source writes it as an address, with blanks and other signs as ``%20`` and so on."""
+    return F.coalesce(F.try_url_decode(F.regexp_replace(origin, "\\+", "%2B")), origin)
+
+
 def read_images(spark: SparkSession, root: str) -> DataFrame:
     """``path, image``: decoded images below ``root``; those that cannot be decoded have a height of -1."""
     rows = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).load(root)
-    return rows.select(F.col("image.origin").alias("path"), "image")
+    return rows.select(origin_path(F.col("image.origin")).alias("path"), "image")

@@ -172,3 +172,74 @@ def test_sql_functions(spark):
     register_functions(spark)
     r = spark.sql("SELECT cosine_sim(array(1D, 0D), array(1D, 1D)) c, l2_dist(array(0D, 3D), array(4D, 0D)) d, vec_norm(array(3D, 4D)) n, vec_dot(array(1D, 2D), array(3D, 4D)) p, cosine_sim(array(0D), array(1D)) z").first()
     assert (round(r.c, 6), r.d, r.n, r.p, r.z) == (0.707107, 5.0, 5.0, 11.0, None)
+
+
+def test_archives(spark, tmp_path):
+    import zipfile
+
+    from lumenaudit.sources.archives import unpack
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("cat/one two.png", b"x"), z.writestr("dog/", b""), z.writestr("dog/b+c.png", b"yy")
+    assert unpack(spark, str(tmp_path / "a.zip"), str(tmp_path / "out")) == 2
+    assert (tmp_path / "out/cat/one two.png").read_bytes() == b"x" and (tmp_path / "out/dog/b+c.png").read_bytes() == b"yy"
+    for name in ("../up.png", "/abs.png", "a/../../b.png"):
+        with zipfile.ZipFile(tmp_path / "bad.zip", "w") as z:
+            z.writestr(name, b"x")
+        with pytest.raises(ValueError):
+            unpack(spark, str(tmp_path / "bad.zip"), str(tmp_path / "out2"))
+    with pytest.raises(ValueError):
+        unpack(spark, str(tmp_path / "a.zip"), str(tmp_path / "out3"), most_bytes=2)
+    zipfile.ZipFile(tmp_path / "empty.zip", "w").close()
+    assert unpack(spark, str(tmp_path / "empty.zip"), str(tmp_path / "out4")) == 0
+
+
+def test_paths_of_odd_names(spark, tmp_path):
+    for name in ("a b/one+two.png", "a b/x%20y.png", "é/z.png"):
+        png(tmp_path / name, np.full((4, 4, 3), 9))
+    got = {r.path.split(str(tmp_path))[1][1:] for r in I.read_images(spark, str(tmp_path)).select("path").collect()}
+    assert got == {"a b/one+two.png", "a b/x%20y.png", "é/z.png"}
+
+
+class FakeSession:
+    def get_inputs(self):
+        return [type("I", (), {"name": "x"})()]
+
+    def run(self, _, feed):
+        x = feed["x"]
+        assert x.dtype == np.float32 and x.shape[1:] == (3, 8, 8)
+        return [x.mean((2, 3))[:, :, None, None]]
+
+
+def test_network_embedder():
+    x = np.zeros((5, 7, 3), np.uint8)
+    x[:, :, 2] = 255  # red, as images are held in blue, green, red
+    v = R.NetworkEmbedder("none", side=8, session=FakeSession()).embed([x, x // 2])
+    mean, dev = np.array(R.NETWORK_MEAN), np.array(R.NETWORK_DEVIATION)
+    assert v.shape == (2, 3) and np.allclose(v[0], (np.array([1, 0, 0]) - mean) / dev, atol=1e-5)
+    assert np.allclose(R.resized(x, 7)[:, :, 2], 255) and np.allclose(R.resized(np.arange(4.0)[None, :, None].repeat(2, 0), 2)[0, :, 0], [0.5, 2.5])
+    with pytest.raises(ValueError):
+        R.NetworkEmbedder("none", device="tpu", session=FakeSession())
+
+
+def test_stream_status_and_progress(spark, tree, tmp_path):
+    from lumenaudit.streaming.ingest import status, wait
+
+    seen = []
+    q = stream_embeddings(spark, str(tree), str(tmp_path / "out"), str(tmp_path / "state"), files_per_batch=3, progress=seen.append)
+    assert wait(q, 300) == "done" == status(q)
+    assert seen == sorted(seen) and seen[-1] == len([p for p in tree.rglob("*") if p.suffix.lower() == ".png"])
+
+    def broken(_):
+        raise RuntimeError("no")
+
+    q = stream_embeddings(spark, str(tree), str(tmp_path / "out2"), str(tmp_path / "state2"), decode=broken)
+    assert wait(q, 300).startswith("failed")
+
+
+def test_scratch_is_cleaned(spark):
+    df = runtime.cut(spark.range(3), "t")
+    path = df._lumen_path
+    assert T.exists(spark, path)
+    runtime.drop_cut(df)
+    assert not T.exists(spark, path)
