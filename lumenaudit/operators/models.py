@@ -27,8 +27,8 @@ def real_classes(df: DataFrame, label: str) -> DataFrame:
     return df.where(F.col(label).isNotNull() & (F.lower(F.col(label).cast("string")) != REAL))
 
 
-def kmeans_clusters(vectors: DataFrame, k: int, seed: int = 42, restarts: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """``vec_id, cluster_id`` of the best of several k-means fits. ``k`` must be at least 2 and below the number of rows."""
+def kmeans_clusters(vectors: DataFrame, k: int, seed: int = 42, restarts: int = 10, max_steps: int = 300, tolerance: float = 1e-9, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """``vec_id, cluster_id`` of the best of several k-means fits, each of ``max_steps`` steps at most or until no centre moves more than ``tolerance``. ``k`` must be at least 2 and below the number of rows."""
     rows = vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("vec_id"), array_to_vector(as_double(vec_col)).alias("features")).persist()
     try:
         n = rows.count()
@@ -36,7 +36,7 @@ def kmeans_clusters(vectors: DataFrame, k: int, seed: int = 42, restarts: int =
             raise ValueError(f"k={k}: must be at least 2 and below the number of rows, {n}")
         # the fits are independent: their many short jobs run side by side
         with ThreadPoolExecutor(min(restarts, 5)) as pool:
-            fits = list(pool.map(lambda i: KMeans(k=k, seed=seed + i).fit(rows), range(restarts)))
+            fits = list(pool.map(lambda i: KMeans(k=k, seed=seed + i, maxIter=max_steps, tol=tolerance).fit(rows), range(restarts)))
         best = min(fits, key=lambda m: m.summary.trainingCost)
         return best.transform(rows).select("vec_id", F.col("prediction").alias("cluster_id"))
     finally:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenaudit.functions.runtime import table
+from lumenaudit.functions.runtime import cut, table
 from lumenaudit.functions.vectors import as_double, cosine, dot, l2_normalize, norm
 from lumenaudit.operators import models as M
 from lumenaudit.operators import similarity as S
@@ -300,3 +300,80 @@ def similarity_heatmap(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(a.crossJoin(F.broadcast(b)).select("row_id", "col_id", cosine(F.col("ea"), F.col("eb")).alias("sim")), "sim")
 
 
+# -- closed forms -----------------------------------------------------------------------
+# In two dimensions matrix roots and main axes have closed forms, so that SQL can check the
+# operators behind the queries on all dimensions above, on every row.
+
+_PLANE = "(SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings)"
+_OVERLAP = f"""
+    m AS (SELECT label, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_samp(x) AS a, var_samp(y) AS d, covar_samp(x, y) AS b FROM {_PLANE} GROUP BY label),
+    o AS (SELECT p.label AS class_a, q.label AS class_b, CASE WHEN p.n < 2 OR q.n < 2 THEN 0 ELSE (p.mx - q.mx) ** 2 + (p.my - q.my) ** 2 + p.a + p.d + q.a + q.d
+        - 2 * sqrt(greatest(0, p.a * q.a + 2 * p.b * q.b + p.d * q.d + 2 * sqrt(greatest(0, (p.a * p.d - p.b * p.b) * (q.a * q.d - q.b * q.b))))) END AS distance FROM m p JOIN m q ON p.label < q.label)
+"""
+
+
+def _plane(spark: SparkSession, d: str) -> DataFrame:
+    return _e(spark, d).withColumn("embedding", F.slice(as_double("embedding"), 1, 2))
+
+
+@query(f"WITH {_OVERLAP} SELECT class_a::BIGINT AS class_a, class_b::BIGINT AS class_b, round(distance, 6) AS distance FROM o")
+def class_overlap_plane(spark: SparkSession, d: str) -> DataFrame:
+    """The distances of classes by the first two dimensions."""
+    return _rounded(S.class_overlap(_plane(spark, d), "label"), "distance")
+
+
+@query(f"""
+    WITH {_OVERLAP}, i AS (SELECT avg(t) AS t FROM (SELECT avg(sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2)) AS t FROM {_PLANE} p JOIN {_PLANE} q USING (label) GROUP BY label HAVING count(DISTINCT p.vec_id) > 1))
+    SELECT round(any_value(t), 6) AS mean_intra_distance, round(avg(distance), 6) AS mean_inter_distance, round(any_value(t) / (avg(distance) + 1e-8), 6) AS diversity_index FROM o, i
+""")
+def diversity_index_plane(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(S.diversity_index(_plane(spark, d), "label"), "mean_intra_distance", "mean_inter_distance", "diversity_index")
+
+
+_AXES = f"""
+    c AS (SELECT var_samp(x) AS a, var_samp(y) AS d, covar_samp(x, y) AS b FROM {_PLANE}),
+    l AS (SELECT *, (a + d) / 2 + sqrt(((a - d) / 2) ** 2 + b * b) AS l1, (a + d) / 2 - sqrt(((a - d) / 2) ** 2 + b * b) AS l2 FROM c),
+    u AS (SELECT *, CASE WHEN b = 0 THEN CASE WHEN a >= d THEN 1.0 ELSE 0.0 END ELSE b / sqrt(b * b + (l1 - a) ** 2) END AS ux, CASE WHEN b = 0 THEN CASE WHEN a >= d THEN 0.0 ELSE 1.0 END ELSE (l1 - a) / sqrt(b * b + (l1 - a) ** 2) END AS uy FROM l),
+    axes AS (SELECT l1, l2, ux * CASE WHEN (CASE WHEN abs(ux) >= abs(uy) THEN ux ELSE uy END) < 0 THEN -1 ELSE 1 END AS ux, uy * CASE WHEN (CASE WHEN abs(ux) >= abs(uy) THEN ux ELSE uy END) < 0 THEN -1 ELSE 1 END AS uy FROM u),
+    points AS (SELECT vec_id, label, x * ux + y * uy AS x1, (y * ux - x * uy) * CASE WHEN (CASE WHEN abs(ux) >= abs(uy) THEN ux ELSE -uy END) < 0 THEN -1 ELSE 1 END AS x2 FROM {_PLANE}, axes)
+"""
+
+
+@query(f"WITH {_AXES} SELECT unnest([1, 2])::INT AS component, round(unnest([l1 / (l1 + l2), l2 / (l1 + l2)]), 6) AS ratio FROM axes")
+def pca_variance_plane(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(M.pca_variance(_plane(spark, d)), "ratio")
+
+
+@query(f'WITH {_AXES} SELECT vec_id, label AS "group", round(x1, 6) AS x1, round(x2, 6) AS x2 FROM points')
+def pca_by_group(spark: SparkSession, d: str) -> DataFrame:
+    """Points of a projection with the group that colours them."""
+    e = _plane(spark, d)
+    points = M.reduce_embeddings(e, "pca").join(e.select("vec_id", F.col("label").alias("group")), "vec_id")
+    return _rounded(points, "x1", "x2").select("vec_id", "group", "x1", "x2")
+
+
+@query(f"""
+    WITH {_AXES}, k AS (SELECT src, dst, r::INT AS rank, round(sim, 6) AS score FROM (SELECT a.vec_id AS src, b.vec_id AS dst, {_COS} AS sim, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_COS}, 9) DESC, b.vec_id) AS r FROM {_E} a, {_E} b) WHERE r <= 5)
+    SELECT src, dst, rank, score, round(p.x1, 6) AS src_x, round(p.x2, 6) AS src_y, round(q.x1, 6) AS dst_x, round(q.x2, 6) AS dst_y FROM k JOIN points p ON p.vec_id = src JOIN points q ON q.vec_id = dst WHERE src <> dst
+""")
+def knn_graph_plane(spark: SparkSession, d: str) -> DataFrame:
+    """The neighbour graph drawn on two main axes."""
+    points = M.pca_projection(_plane(spark, d))
+    return _rounded(M.knn_graph_points(points, S.knn_graph(_e(spark, d), 5)), "score", "src_x", "src_y", "dst_x", "dst_y")
+
+
+@query("SELECT count(*) AS n_rows, 10::BIGINT AS n_clusters, 0::BIGINT AS n_nearer_elsewhere FROM embeddings")
+def kmeans_facts(spark: SparkSession, d: str) -> DataFrame:
+    """What any result of k-means must satisfy: every row is in the cluster whose mean is nearest."""
+    e = _e(spark, d)
+    found = cut(M.kmeans_clusters(e, 10), "kmeans")
+    means = S.class_centroids(e.join(found, "vec_id"), "cluster_id").select(F.col("label").cast("long").alias("cluster_id"), F.col("centroid").alias("center"))
+    near = M.assign_to_centers(e, means).select("vec_id", F.col("cluster_id").alias("near"))
+    return found.join(near, "vec_id").agg(F.count("*").alias("n_rows"), F.count_distinct("cluster_id").alias("n_clusters"), F.count_if(F.col("cluster_id") != F.col("near")).alias("n_nearer_elsewhere"))
+
+
+@query("SELECT count(*) AS n_rows, count(DISTINCT vec_id) AS n_distinct, count(*) AS n_finite FROM embeddings")
+def tsne_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Every row has one place, and it is finite."""
+    out = M.reduce_embeddings(_e(spark, d), "tsne", whole=True)
+    return out.agg(F.count("*").alias("n_rows"), F.count_distinct("vec_id").alias("n_distinct"), F.count_if(~F.isnan(F.col("x1") + F.col("x2"))).alias("n_finite"))
