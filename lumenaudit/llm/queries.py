@@ -56,6 +56,17 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return _sample(spark, d)[1]
 
 
+def p2_shortfalls(spark: SparkSession, d: str) -> DataFrame:
+    """What each label has, asks for and lacks: the part of the report that no draw decides."""
+    return _sample(spark, d)[1].select("label", "available", "wanted", "shortfall")
+
+
+def p2_sample_facts(spark: SparkSession, d: str) -> DataFrame:
+    """One row on the drawn sample: its size, its distinct records, its rows of labels without a target."""
+    rows = _sample(spark, d)[0].join(table(spark, d, "sample_targets").select("label", F.lit(True).alias("known")).distinct(), "label", "left")
+    return rows.agg(F.count("*").alias("n_rows"), F.count_distinct("vec_id").alias("n_records"), F.count_if(F.col("known").isNull()).alias("n_other"))
+
+
 def p2_sample(spark: SparkSession, d: str) -> DataFrame:
     """The records drawn."""
     return _sample(spark, d)[0]
@@ -86,6 +97,13 @@ def p4_varied_subset(spark: SparkSession, d: str) -> DataFrame:
     return diverse_subset(table(spark, d, "vectors"), SUBSET).withColumn("gain", F.round("gain", 6))
 
 
+def p4_facts(spark: SparkSession, d: str) -> DataFrame:
+    """One row on the subset: its size, its distinct records, its last rank, and rises of the gains (greedy gains never rise)."""
+    out = diverse_subset(table(spark, d, "vectors"), SUBSET)
+    next_ = out.select((F.col("rank") - 1).alias("rank"), F.col("gain").alias("next"))
+    return out.join(next_, "rank", "left").agg(F.count("*").alias("n_rows"), F.count_distinct("vec_id").alias("n_records"), F.max("rank").alias("last_rank"), F.count_if(F.col("next") > F.col("gain") + 1e-4).alias("n_rises"))
+
+
 #: Parameter: the percentiles that are reported.
 FRACTIONS = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 
@@ -154,6 +172,14 @@ def p9_balanced_report(spark: SparkSession, d: str) -> DataFrame:
     return _shares(mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"), size="most").report)
 
 
+def p9_balanced_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Does each source reach its share within a hundredth of all tokens, and is none of its pages used too often?"""
+    mix = mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"), size="most")
+    used = mix.documents.groupBy("source").agg(F.max("copies").alias("most"))
+    near = F.abs(F.col("drawn_share") - F.col("target_share")) <= 0.01
+    return mix.report.join(used, "source", "left").select("source", near.alias("near_target"), (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("within_cap"))
+
+
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
     """How often each page is used in the largest mixture in which every source reaches its share."""
     out = mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"), size="most").documents
@@ -191,15 +217,40 @@ def oracle_sql() -> dict[str, str]:
         AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY vec_id)"""
     near = f"(SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS s FROM {usable} a, {usable} b WHERE round(list_cosine_similarity(a.e, b.e), 6) >= {SIMILAR})"
     tokens = "(SELECT vec_id, list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(split_part(path, '/', -1)), '\\.[^.]*$', ''), '[^a-z0-9]+'), lambda x: x <> '')) AS t FROM (SELECT vec_id, min(path) AS path FROM image_records GROUP BY vec_id))"
+    links = f"""v AS MATERIALIZED (SELECT vec_id, e FROM {usable} WHERE vec_id IN (SELECT vec_id FROM image_records)), n AS MATERIALIZED (SELECT * FROM {tokens} WHERE len(t) > 0),
+            l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) > 0.95
+                UNION SELECT a.vec_id, b.vec_id FROM n a JOIN n b ON a.vec_id <> b.vec_id AND len(list_intersect(a.t, b.t)) >= 0.75 * (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))),
+            r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)"""
     return {
         "p1_found": f"SELECT DISTINCT least(a, b) AS vec_id_a, greatest(a, b) AS vec_id_b FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM {near} WHERE a <> b) WHERE r <= 10",
         # links of clusters join every two members, so a record's neighbours are its cluster
         "p6_found": f"SELECT min(b) AS cluster_id, a AS vec_id FROM {near} GROUP BY a HAVING count(*) >= 5",
+        "p3_groups": f"""
+            WITH RECURSIVE {links} SELECT a AS vec_id, least(a, min(b)) AS group_id, count(DISTINCT b) AS size FROM r GROUP BY a
+        """,
+        "p6_clusters": f"""
+            WITH m AS MATERIALIZED (SELECT min(b) AS cluster_id, a AS vec_id FROM {near} GROUP BY a HAVING count(*) >= 5),
+            v AS MATERIALIZED (SELECT m.cluster_id, m.vec_id, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS u FROM m JOIN {usable} x USING (vec_id)),
+            c AS (SELECT cluster_id, list(t ORDER BY i) AS mean FROM (SELECT cluster_id, i, avg(u[i]) AS t FROM v, (SELECT unnest(range(1, 129)) AS i) GROUP BY ALL) GROUP BY cluster_id),
+            s AS (SELECT v.cluster_id, vec_id, list_cosine_similarity(u, mean) AS s FROM v JOIN c USING (cluster_id)),
+            t AS (SELECT cluster_id, string_agg(vec_id, ',' ORDER BY r) AS medoids FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY round(s, 9) DESC, vec_id) AS r FROM s) WHERE r <= 3 GROUP BY cluster_id),
+            k AS (SELECT cluster_id, label, count(*) AS n FROM m JOIN (SELECT vec_id, min({label_key_sql("label")}) AS label FROM vectors WHERE len(embedding) = 128 AND len(list_filter(embedding, lambda x: isfinite(x))) = 128 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY vec_id) USING (vec_id) WHERE label IS NOT NULL GROUP BY ALL),
+            g AS (SELECT cluster_id, count(*) AS n_labels, string_agg(label || ':' || n, ',' ORDER BY r) FILTER (WHERE r <= 3) AS labels FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, label) AS r FROM k) GROUP BY cluster_id)
+            SELECT s.cluster_id, count(*) AS size, coalesce(any_value(n_labels), 0) AS n_labels, any_value(labels) AS labels, any_value(medoids) AS medoids, round(avg(s), 6) AS cohesion
+            FROM s JOIN t USING (cluster_id) LEFT JOIN g USING (cluster_id) GROUP BY s.cluster_id
+        """,
+        "p2_shortfalls": f"""
+            SELECT label, available, wanted, greatest(0, wanted - available)::BIGINT AS shortfall FROM (
+                SELECT t.label, coalesce(c.n, 0) AS available, ceil(greatest(t.min_rows, t.target_share * {SAMPLE_FRACTION} * (SELECT count(*) FROM {latest})))::BIGINT AS wanted
+                FROM sample_targets t LEFT JOIN (SELECT label, count(*) AS n FROM {latest} GROUP BY label) c ON c.label = t.label)
+        """,
+        # the labels with a target hold more records than the sample asks for, and their minimums take less
+        "p2_sample_facts": f"SELECT round({SAMPLE_FRACTION} * count(*))::BIGINT AS n_rows, round({SAMPLE_FRACTION} * count(*))::BIGINT AS n_records, 0::BIGINT AS n_other FROM {latest}",
+        # exact copies add nothing; of other vectors there are enough in all test data
+        "p4_facts": f"SELECT least({SUBSET}, count(*)) AS n_rows, least({SUBSET}, count(*)) AS n_records, least({SUBSET}, count(*))::INT AS last_rank, 0::BIGINT AS n_rises FROM (SELECT DISTINCT e FROM {usable})",
+        "p9_balanced_facts": "SELECT source, true AS near_target, true AS within_cap FROM mix_targets",
         "p3_found": f"""
-            WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, e FROM {usable} WHERE vec_id IN (SELECT vec_id FROM image_records)), n AS MATERIALIZED (SELECT * FROM {tokens} WHERE len(t) > 0),
-            l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) > 0.95
-                UNION SELECT a.vec_id, b.vec_id FROM n a JOIN n b ON a.vec_id <> b.vec_id AND len(list_intersect(a.t, b.t)) >= 0.75 * (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))),
-            r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+            WITH RECURSIVE {links}
             SELECT a AS vec_id_a, b AS vec_id_b FROM r WHERE a < b
         """,
         # no source is near its limit, so characters tell the same as tokens
