@@ -116,8 +116,9 @@ def group_distribution(df: DataFrame, group: str, label: str) -> DataFrame:
     """``group, class, proportion`` for every group and class, 0 where a class is absent."""
     rows = df.where(F.col(group).isNotNull() & F.col(label).isNotNull())
     counts = rows.groupBy(F.col(group).alias("group"), F.col(label).alias("class")).agg(F.count("*").alias("c"))
-    # counts hold one row per group and class
-    grid = counts.select("group").distinct().crossJoin(F.broadcast(counts.select("class").distinct()))
+    # counts hold one row per group and class; the list of classes is one row, laid beside every group
+    classes = counts.agg(F.collect_set("class").alias("_all"))
+    grid = counts.select("group").distinct().crossJoin(F.broadcast(classes)).select("group", F.explode("_all").alias("class"))
     totals = counts.groupBy("group").agg(F.sum("c").alias("n"))
     return grid.join(counts, ["group", "class"], "left").join(totals, "group").select("group", "class", (F.coalesce("c", F.lit(0)) / F.col("n")).alias("proportion"))
 
@@ -194,5 +195,5 @@ def disparity(df: DataFrame, bucket: str, value: str, bound: float = 0.15) -> Da
 def dimension_correlation(df: DataFrame, vec: str, group: str) -> DataFrame:
     """``dim, correlation`` of each vector element with the group's code (rank of the sorted group values, from 0)."""
     codes = df.where(F.col(group).isNotNull()).select(group).distinct().withColumn("_code", F.dense_rank().over(Window.orderBy(group)) - 1)
-    rows = df.join(F.broadcast(codes), group).select("_code", F.posexplode(F.col(vec).cast("array<double>")).alias("dim", "x"))
+    rows = df.join(codes, group).select("_code", F.posexplode(F.col(vec).cast("array<double>")).alias("dim", "x"))
     return rows.groupBy("dim").agg(F.corr("x", "_code").alias("correlation"))

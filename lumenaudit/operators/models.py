@@ -88,6 +88,7 @@ def silhouette(vectors: DataFrame, cluster: str, id_col: str = "vec_id", vec_col
         ids, c, o, total = (np.concatenate(x) for x in out)
         return pa.table({"id": pa.array(ids, pa.int64()), "c": pa.array(c, pa.string()), "o": pa.array(o, pa.string()), "s": pa.array(total, pa.float64())})
 
+    # one row per query row and cluster of its chunk pair, added up before they are shuffled
     part = both.groupBy("one", "two").applyInArrow(sums, "id long, c string, o string, s double").groupBy("id", "c", "o").agg(F.sum("s").alias("s"))
     sizes = rows.groupBy(F.col("c").alias("o")).agg(F.count("*").alias("n"))
     per = part.join(sizes, "o")

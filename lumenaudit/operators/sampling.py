@@ -70,10 +70,13 @@ def rebalance(df: DataFrame, key: str, label: str, mode: str = "all", bound: flo
         rows = rows.where(~F.coalesce("_act", F.lit(False)) | F.col("_l").isin(F.col("_big"), F.col("_small")))
         rows = rows.where(F.col("_l").isNotNull())
     short = F.coalesce("_act", F.lit(False)) & (F.col("_c") < F.col("_max"))
-    order = Window.partitionBy(label).orderBy(hash_key(seed, key), key)
     same = rows.where(~short).withColumn("copy", F.lit(0))
-    # only classes below the largest are numbered
-    few = rows.where(short).withColumn("_r", F.row_number().over(order))
+    # only classes below the largest are numbered, in parts of the hash: counts of the parts before give each part's start
+    few = rows.where(short).withColumn("_h", hash_key(seed, key)).withColumn("_b", F.substring("_h", 1, 2))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_l").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = few.groupBy("_l", "_b").agg(F.count("*").alias("_n")).select("_l", "_b", before.alias("_s"))
+    order = Window.partitionBy("_l", "_b").orderBy("_h", key)
+    few = few.join(starts, ["_l", "_b"]).withColumn("_r", F.col("_s") + F.row_number().over(order))
     times = (F.floor(F.col("_max") / F.col("_c")) + F.when(F.col("_r") <= F.col("_max") % F.col("_c"), 1).otherwise(0)).cast("int")
     more = few.withColumn("copy", F.explode(F.sequence(F.lit(0), times - 1)))
     return same.select(*df.columns, "copy").unionByName(more.select(*df.columns, "copy"))

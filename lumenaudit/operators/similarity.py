@@ -94,31 +94,37 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, id_col: str = "vec_id"
     under the cosine; fewer than ``k`` base rows give fewer neighbours. Vectors must have
     one length; ids must be unique on each side.
     """
-    sign = -1.0 if metric == "euclidean" else 1.0
-
-    def best(key: tuple, group: pa.Table) -> pa.Table:
-        is_q = group.column("q").to_numpy(zero_copy_only=False)
-        ids = group.column("id").to_numpy()
-        qi, bi = np.flatnonzero(is_q), np.flatnonzero(~is_q)
-        src, dst, score = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-        if len(qi) and len(bi):
-            bi = bi[np.argsort(ids[bi], kind="stable")]
-            v = _matrix(group.column("v"))
-            for rows in _blocks(qi, len(bi)):
-                # ties are decided on rounded scores, as sums of products differ in the last digits
-                raw = _scores(v[rows], v[bi], metric)
-                s = np.round(raw, 9)
-                gone = np.isnan(s) | ((ids[rows][:, None] == ids[bi][None, :]) & exclude_self)
-                s[gone] = -np.inf
-                n = min(k, s.shape[1])
-                order = np.argsort(-s, 1, kind="stable")[:, :n] if n * 8 > s.shape[1] else _top(s, n)
-                val = np.take_along_axis(s, order, 1)
-                r, c = np.nonzero(np.isfinite(val))
-                src.append(ids[rows][r]), dst.append(ids[bi][order[r, c]]), score.append(raw[r, order[r, c]])
-        return pa.table({"src": np.concatenate(src), "dst": np.concatenate(dst), "score": np.concatenate(score)})
-
     q, b = _rows(queries, id_col, vec_col), _rows(base, id_col, vec_col)
-    found = _chunk_pairs(q, b, chunk_rows).groupBy("one", "two").applyInArrow(best, "src long, dst long, score double")
+    found = _chunk_pairs(q, b, chunk_rows).groupBy("one", "two").applyInArrow(lambda group: best_in_group(group, k, metric, exclude_self), "src long, dst long, score double")
+    return merge_best(found, k, metric)
+
+
+def best_in_group(group: pa.Table, k: int, metric: str, exclude_self: bool) -> pa.Table:
+    """``src, dst, score`` of the ``k`` nearest rows without the flag ``q`` for each row with it."""
+    is_q = group.column("q").to_numpy(zero_copy_only=False)
+    ids = group.column("id").to_numpy()
+    qi, bi = np.flatnonzero(is_q), np.flatnonzero(~is_q)
+    src, dst, score = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    if len(qi) and len(bi):
+        bi = bi[np.argsort(ids[bi], kind="stable")]
+        v = _matrix(group.column("v"))
+        for rows in _blocks(qi, len(bi)):
+            # ties are decided on rounded scores, as sums of products differ in the last digits
+            raw = _scores(v[rows], v[bi], metric)
+            s = np.round(raw, 9)
+            gone = np.isnan(s) | ((ids[rows][:, None] == ids[bi][None, :]) & exclude_self)
+            s[gone] = -np.inf
+            n = min(k, s.shape[1])
+            order = np.argsort(-s, 1, kind="stable")[:, :n] if n * 8 > s.shape[1] else _top(s, n)
+            val = np.take_along_axis(s, order, 1)
+            r, c = np.nonzero(np.isfinite(val))
+            src.append(ids[rows][r]), dst.append(ids[bi][order[r, c]]), score.append(raw[r, order[r, c]])
+    return pa.table({"src": np.concatenate(src), "dst": np.concatenate(dst), "score": np.concatenate(score)})
+
+
+def merge_best(found: DataFrame, k: int, metric: str) -> DataFrame:
+    """``src, dst, rank, score``: the ``k`` best of what several groups found for a query."""
+    sign = -1.0 if metric == "euclidean" else 1.0
     order = Window.partitionBy("src").orderBy(F.desc(F.round("score", 9)), "dst")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("src", "dst", "rank", (F.lit(sign) * F.col("score")).alias("score"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenaudit.functions.runtime import cut, table
 from lumenaudit.functions.vectors import as_double, cosine, dot, l2_normalize, norm
+from lumenaudit.operators import index as X
 from lumenaudit.operators import models as M
 from lumenaudit.operators import similarity as S
 from lumenaudit.operators.sampling import sample_rows
@@ -75,6 +76,19 @@ def knn_graph(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(S.knn_graph(_e(spark, d), 10), "score")
 
 
+@query(f"SELECT src, dst, r::INT AS rank, round(sim, 6) AS score FROM ({_KNN}) WHERE r <= 5")
+def indexed_neighbors_all_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbours from the index when every list is looked into: then nothing is lost."""
+    return _rounded(X.ivf_search(_e(spark, d), _e(spark, d), 5, lists=16, probes=16), "score")
+
+
+@query("SELECT 5 * count(*) AS n, true AS recalled FROM embeddings")
+def indexed_neighbors_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Does the index find nine tenths of the exact neighbours, with its own parameters?"""
+    e = _e(spark, d)
+    return X.recall(X.search(e, e, 5, "lists"), S.knn_join(e, e, 5)).select("n", (F.col("recall") >= 0.9).alias("recalled"))
+
+
 @query(f"SELECT src, dst, r::INT AS rank, round(sim, 6) AS score FROM ({_KNN}) WHERE r <= 5 AND sim > {LINK}")
 def knn_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(S.near_neighbors(_e(spark, d), LINK, 5), "score")

@@ -178,3 +178,25 @@ def test_kmeans_keeps_the_best_of_ten_fits(spark, monkeypatch):
     monkeypatch.setattr(M, "KMeans", lambda k, seed: seeds.append(seed) or real(k=k, seed=seed))
     df = spark.createDataFrame([(i, [float(i % 3 * 9), float(i)]) for i in range(12)], "vec_id long, embedding array<double>")
     assert M.kmeans_clusters(df, 3).count() == 12 and len(set(seeds)) == 10
+
+
+def test_inverted_lists(spark):
+    from lumenaudit.operators import index as X
+    from lumenaudit.operators import similarity as S
+
+    rng = np.random.default_rng(0)
+    centers = rng.normal(size=(12, 16))
+    x = np.concatenate([centers[i % 12] + 0.4 * rng.normal(size=16) for i in range(600)]).reshape(600, 16)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(700 + i, x[0].tolist()) for i in range(40)] + [(None, x[1].tolist()), (800, None), (801, [0.0] * 16)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for metric in ("cosine", "euclidean", "dot"):
+        exact = {(r.src, r.dst, r["rank"]) for r in S.knn_join(df, df, 4, metric=metric).collect()}
+        for chunk in (16384, 30):
+            whole = {(r.src, r.dst, r["rank"]) for r in X.ivf_search(df, df, 4, metric=metric, lists=10, probes=10, chunk_rows=chunk).collect()}
+            assert whole == exact
+        if metric != "dot":
+            assert X.recall(X.search(df, df, 4, "lists", metric=metric), S.knn_join(df, df, 4, metric=metric)).first().recall > 0.95
+    assert X.ivf_search(df, df.limit(0), 3).count() == 0 and X.ivf_search(df.limit(0), df, 3).count() == 0
+    assert {tuple(r) for r in X.search(df, df, 2).collect()} == {tuple(r) for r in S.knn_join(df, df, 2).collect()}
+    with pytest.raises(ValueError):
+        X.search(df, df, 2, "pq")
