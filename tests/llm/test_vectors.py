@@ -5,6 +5,7 @@ from hypothesis import strategies as st
 
 from lumenaudit.functions.vectors import unit
 from lumenaudit.llm.cells import placed
+from lumenaudit.llm import cross_polytope
 from lumenaudit.llm.cross_polytope import best_cells, cell_shape, hadamard, pseudo_rotation, similar_vectors, top_of_blocks
 from lumenaudit.llm.density import cluster_vectors, describe_clusters
 from lumenaudit.llm.diverse_subset import diverse_subset, greedy_determinant, representatives
@@ -146,6 +147,42 @@ def test_recall_on_test_data(spark, sf):
     assert len(got & want) >= 0.98 * len(want)
 
 
+@pytest.fixture(scope="module")
+def true_pairs():
+    """(units, pairs) of 2,000 records' ten nearest with a cosine of 0.72 or more in the largest table at hand."""
+    import os
+
+    import pyarrow.parquet as pq
+
+    from lumenaudit.functions.vectors import list_matrix
+
+    name = next(p for p in ("/root/testdata/sf0.1/vectors.parquet", os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001") + "/vectors.parquet") if os.path.exists(p))
+    t = pq.read_table(name)
+    ok, x = list_matrix(t["embedding"], 128)
+    _, at = np.unique(t["vec_id"].to_numpy()[ok], return_index=True)
+    u = unit(x[at])
+    asked = np.random.default_rng(0).permutation(len(u))[:2000]
+    f = u.astype(np.float32)
+    pairs = []
+    for a in range(0, len(asked), 500):
+        s = f[asked[a : a + 500]] @ f.T
+        s[np.arange(len(s)), asked[a : a + 500]] = -2
+        top = np.argpartition(-s, 10, 1)[:, :10]
+        r, c = np.nonzero(np.take_along_axis(s, top, 1) >= 0.72)
+        pairs.append(np.stack([asked[a : a + 500][r], top[r, c]], 1))
+    return u, np.concatenate(pairs)
+
+
+@pytest.mark.parametrize("rows", [12_000, 121_000, 1_000_000, 10_000_000, 30_000_000, 100_000_000])
+def test_recall_does_not_fall_with_the_cells_of_larger_tables(true_pairs, rows):
+    u, pairs = true_pairs
+    shape = cross_polytope.cell_shape(rows, 128, 450)
+    cells = cross_polytope.placed_cells(u, shape, *cross_polytope.places(shape), 20)
+    a, b = cells[pairs[:, 0]], cells[pairs[:, 1]]
+    meet = ((a[:, :, None] == b[:, None, :]) & (a[:, :, None] >= 0)).any((1, 2))
+    assert len(pairs) > 300 and meet.mean() >= 0.99
+
+
 def test_clusters(spark):
     rows = clustered(sizes=(40, 9, 5, 4, 1, 1))
     df = table(spark, rows + BAD + rows[:5])
