@@ -77,13 +77,50 @@ class ByteNetwork:
             out[t] = state
         return out
 
+    def _states(self, d: str, x: np.ndarray) -> np.ndarray:
+        """The states of ``_run``, as numbers for use only: each gate in its own contiguous block, nothing kept or copied on the way."""
+        w, h = self.weights, self.hidden
+        n, steps = x.shape[0], x.shape[1] // STRIDE
+        u, c0 = np.ascontiguousarray(w[d + "u"].reshape(h, 3, h).transpose(1, 0, 2)), w[d + "c"]
+        tables = [np.ascontiguousarray(w[f"{d}e{s}"].reshape(256, 3, h).transpose(1, 0, 2)) for s in range(STRIDE)]
+        tables[0] = tables[0] + w[d + "b"].reshape(3, 1, h)
+        cols = np.ascontiguousarray(x.T)
+        out = np.empty((steps, n, h), np.float32)
+        state = np.zeros((n, h), np.float32)
+        a, more, g = (np.empty((3, n, h), np.float32) for _ in range(3))
+        for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
+            np.take(tables[0], cols[t * STRIDE], axis=1, out=a, mode="clip")
+            for s in range(1, STRIDE):
+                a += np.take(tables[s], cols[t * STRIDE + s], axis=1, out=more, mode="clip")
+            np.matmul(state, u, out=g)
+            gates, m = a[:2], g[2]
+            gates += g[:2]
+            # exp may overflow to infinity: the gate is then 0
+            np.negative(gates, out=gates)
+            np.exp(gates, out=gates)
+            gates += 1
+            np.reciprocal(gates, out=gates)
+            m += c0
+            m *= gates[1]
+            m += a[2]
+            np.tanh(m, out=m)
+            now = out[t]
+            np.subtract(state, m, out=now)
+            now *= gates[0]
+            now += m
+            state = now
+        return out
+
     def log_probabilities(self, x: np.ndarray) -> np.ndarray:
         """(steps, sequences, classes) for bytes ``x`` (sequences, bytes)."""
-        both = np.concatenate([self._run("f", x), self._run("b", x)], 2)
-        z = both.reshape(-1, 2 * self.hidden) @ self.weights["v"] + self.weights["o"]
+        h, v = self.hidden, self.weights["v"]
+        with np.errstate(over="ignore"):
+            z = self._states("f", x).reshape(-1, h) @ v[:h]
+            z += self._states("b", x).reshape(-1, h) @ v[h:]
+        z += self.weights["o"]
         z -= z.max(1, keepdims=True)
         z -= np.log(np.exp(z).sum(1, keepdims=True))
-        return z.reshape(both.shape[0], both.shape[1], -1)
+        return z.reshape(x.shape[1] // STRIDE, x.shape[0], -1)
 
     def gradients(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
         """(gradients, loss) of the mean negative log-probability of class ``y`` (sequences, steps) at unmasked steps."""

@@ -221,6 +221,14 @@ def test_paths_of_mixed_lengths(monkeypatch):
     assert (languages.best_paths(scores, owner, len(size), 3.0, -2.5) == want).all()
 
 
+def test_both_ways_of_running_agree():
+    net = ByteNetwork(3, hidden=5, seed=1)
+    net.weights = {k: (4 * w).astype(np.float32) for k, w in net.weights.items()}
+    x = np.random.default_rng(0).integers(0, 256, (7, 40)).astype(np.uint8)
+    for d in "fb":
+        assert np.allclose(net._run(d, x), net._states(d, x), atol=1e-5)
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(0)
     n = ByteNetwork(3, hidden=4)
