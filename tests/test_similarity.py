@@ -175,7 +175,7 @@ def test_tsne_query_projects_the_whole_table(spark, tmp_path):
 def test_kmeans_keeps_the_best_of_ten_fits(spark, monkeypatch):
     seeds = []
     real = M.KMeans
-    monkeypatch.setattr(M, "KMeans", lambda k, seed: seeds.append(seed) or real(k=k, seed=seed))
+    monkeypatch.setattr(M, "KMeans", lambda seed, **more: seeds.append(seed) or real(seed=seed, **more))
     df = spark.createDataFrame([(i, [float(i % 3 * 9), float(i)]) for i in range(12)], "vec_id long, embedding array<double>")
     assert M.kmeans_clusters(df, 3).count() == 12 and len(set(seeds)) == 10
 
